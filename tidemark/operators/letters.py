@@ -26,6 +26,10 @@ def sparse_letters(
     the small pane results are copied to each window.
     """
     tagged = windows.panes(df, tms)
+    # Rows without a case or a time are in no letter. The join with the spine would add the same
+    # conditions on its side only, and the two readers of this table could no longer share a shuffle.
+    for column in [*by, "_pane"]:
+        tagged = tagged.where(F.col(column).isNotNull())
     inside = F.col("_inside") if windows.gaps else None
     first = [atom.aggregate(inside) for atom in atoms]
     if not windows.overlapping:
