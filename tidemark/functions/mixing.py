@@ -9,13 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MODULUS = 2147483647  # 2**31 - 1, so that a squared residue still fits a BIGINT
+# Multiplier, increment and modulus of each step. The moduli are different primes below 2**31:
+# one alone would keep differences between neighbours, two after each other do not, and every
+# product fits a BIGINT.
+STEPS = ((48271, 12345, 2147483647), (69621, 7919, 2147483629), (40692, 104729, 2147483587))
+MODULUS = STEPS[-1][2]
 
 
 def mix(x: Column) -> Column:
-    """Scramble a non-negative BIGINT into [0, 2**31 - 1): linear step, square, linear step."""
-    a = (x * F.lit(48271) + F.lit(12345)) % F.lit(MODULUS)
-    return ((a * a) % F.lit(MODULUS) * F.lit(16807) + a) % F.lit(MODULUS)
+    """Scramble a non-negative BIGINT below 2**47 into [0, MODULUS).
+
+    ``x`` occurs once in the expression, so chained hashes stay small when Spark merges them.
+    """
+    for multiplier, increment, modulus in STEPS:
+        x = (x * F.lit(multiplier) + F.lit(increment)) % F.lit(modulus)
+    return x
 
 
 def pick_int(h: Column, low: int, high: int) -> Column:

@@ -139,6 +139,8 @@ class Always(Formula):
         return self.horizon - 1 + self.body.lookahead()
 
     def compile(self, letters: _Letters) -> Column:
+        if self.horizon == 1:
+            return self.body.compile(letters)
         (value,) = letters.keep(self.body.compile(letters))
         false_at, open_at = letters.next_indexes(value == FALSE, value != TRUE)
         return (
@@ -157,6 +159,8 @@ class Eventually(Formula):
         return self.horizon - 1 + self.body.lookahead()
 
     def compile(self, letters: _Letters) -> Column:
+        if self.horizon == 1:
+            return self.body.compile(letters)
         (value,) = letters.keep(self.body.compile(letters))
         true_at, open_at = letters.next_indexes(value == TRUE, value != FALSE)
         return (
@@ -178,6 +182,8 @@ class Until(Formula):
         return self.horizon - 1 + max(self.hold.lookahead(), self.release.lookahead())
 
     def compile(self, letters: _Letters) -> Column:
+        if self.horizon == 1:
+            return self.release.compile(letters)
         hold, release = letters.keep(self.hold.compile(letters), self.release.compile(letters))
         released, maybe_released, broken, maybe_broken = letters.next_indexes(
             release == TRUE, release >= UNDECIDED, hold == FALSE, hold <= UNDECIDED
