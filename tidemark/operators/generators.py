@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.mixing import mix
 from tidemark.operators.windows import Windows
+from tidemark.session import spread
 
 
 def cases_from(df: DataFrame, key: str) -> DataFrame:
@@ -50,7 +51,7 @@ def until_windows(cases: DataFrame, n: int, seed: int = 0) -> DataFrame:
 def rows_n_to_m(windows: DataFrame, n: int, m: int) -> DataFrame:
     """Between n and m rows in each window (the number depends on the window)."""
     count = F.lit(n).cast("bigint") + F.col("wh") % F.lit(m - n + 1)
-    rows = windows.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), count)))
+    rows = spread(windows, "case_id", "idx").withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), count)))
     return _with_hash(rows.withColumn("h", F.col("wh") + F.col("row")), "h", F.col("h")).drop("wh")
 
 

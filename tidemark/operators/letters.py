@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.atoms import Atom, count_rows
 from tidemark.operators.windows import Windows
+from tidemark.session import spread
 
 SPINE_CHUNK = 4096
 
@@ -60,7 +61,7 @@ def spine(ends: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     low = F.col("_chunk") * F.lit(SPINE_CHUNK)
     return (
-        chunked.repartition(*by, "_chunk")
+        spread(chunked, *by, "_chunk")
         .withColumn("idx", F.explode(F.sequence(low, F.least(F.col("last_idx"), low + F.lit(SPINE_CHUNK - 1)))))
         .drop("_chunk")
     )

@@ -17,6 +17,7 @@ from tidemark.operators.atoms import Atom
 from tidemark.operators.letters import letters
 from tidemark.operators.temporal import Formula, case_verdict, evaluate
 from tidemark.operators.windows import Windows
+from tidemark.sources.recordings import record_table
 
 MAX_LETTERS = 100
 CASE = ("case_id",)
@@ -59,6 +60,10 @@ def for_all_cases(
     prop: Property, source: DataFrame, subject: Subject, cases: DataFrame, by: Sequence[str] = CASE
 ) -> DataFrame:
     """One row per case: ``by..., verdict, passed``. ``source`` holds the rows of all cases
-    (``by..., ts, tms`` and payload), ``subject`` is the pipeline under test."""
+    (``by..., ts, tms`` and payload), ``subject`` is the pipeline under test.
+
+    The input is recorded first: it is read by the pipeline and by the assertions, and generated
+    rows would be computed for each of them."""
+    source = record_table(source, "case-input")
     output = subject(source).withColumn("tms", F.unix_millis("ts"))
     return case_verdict(prop.evaluate(source, output, by), cases, by)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of this package relies on; all can be set on a live session.
 RUNTIME_CONF = {
@@ -57,3 +57,13 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared scratch folder."""
     return f"{scratch_root(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-distribute rows that are about to be expanded.
+
+    The number of partitions is given explicitly: adaptive execution would judge the few bytes
+    before the expansion and merge them into one task.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *columns)
