@@ -91,7 +91,9 @@ def event_time(df: DataFrame, column: str = "start_time", name: str = "tms") ->
 def fare_line(df: DataFrame) -> DataFrame:
     """Inverse of :func:`read_fares`: one text column ``value`` per fare."""
     texts = [
-        F.date_format("start_time", FARE_TIME_FORMAT) if name == "start_time" else F.col(name).cast("string")
+        F.date_format("start_time", FARE_TIME_FORMAT)
+        if name == "start_time"
+        else F.coalesce(F.col(name).cast("string"), F.lit(""))
         for name in FARE_FIELDS
     ]
     return df.select(F.concat_ws(",", *texts).alias("value"))
