@@ -129,7 +129,7 @@ def property_sql(
     idx = sql.letter_index(size, 0) if slide is None else sql.slide_indexes(size, slide, 0)
     step = slide or size
     return f"""
-    WITH {CASES}, src AS ({source}), out AS ({output}),
+    WITH {CASES}, src AS (SELECT * EXCLUDE (idx) FROM ({source})), out AS ({output}),
     i AS ({sql.side('src', input_atoms, CASE, idx)}), o AS ({sql.side('out', output_atoms, CASE, idx)}),
     word AS ({sql.word(['i', 'o'], values, CASE, step, 0, cap=100)}){more},
     f AS (SELECT case_id, idx, {formula} AS v FROM {letters})
