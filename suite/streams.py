@@ -12,14 +12,15 @@ from suite.formulas import BY, CASE_SQL, NO_ALERT, SENSOR_WORD, SOME_ALERT
 from suite.generated import QUARTER, cases
 from suite.registry import query
 from tidemark.operators import generators as g
-from tidemark.operators.atoms import foreach_element
+from tidemark.operators.atoms import exists_element, foreach_element
 from tidemark.operators.letters import letters
-from tidemark.operators.temporal import always, case_verdict, evaluate, now, with_verdict
+from tidemark.operators.temporal import always, case_verdict, evaluate, now, until, with_verdict
 from tidemark.operators.windows import Windows
 from tidemark.plans import harass, pollution, tips
 from tidemark.sources.tables import fares, incidents, sensors
 from tidemark.streaming.monitor import complete_verdicts, monitor_always, monitor_eventually
 from tidemark.streaming.recorder import record_stream, record_with_timestamps, replay
+from tidemark.streaming.stepwise import StepwiseMonitor
 
 
 @query(
@@ -133,3 +134,25 @@ def stream_monitor_always(spark, sf_dir):
 )
 def stream_monitor_eventually(spark, sf_dir):
     return _monitored(spark, sf_dir, monitor_eventually, F.col("level") == "Alert", 4, False)
+
+
+_LEVEL_ATOMS = "bool_and(level = 'OK') AS ok, bool_or(level = 'Alert') AS sa"
+_OUTPUT_WORD = (
+    f"{sql.SENSORS}, p1 AS ({sql.pollution1()}), o AS ({sql.side('p1', _LEVEL_ATOMS, BY)}), "
+    f"word AS ({sql.word(['o'], 'coalesce(ok, true) AS all_ok, coalesce(sa, false) AS some_alert', BY)})"
+)
+
+
+@query(
+    "stream_stepwise_until",
+    f"WITH {_OUTPUT_WORD} SELECT sensor_id, idx, {sql.verdict(sql.until('all_ok', 'some_alert', 4, BY))} AS verdict FROM word",
+)
+def stream_stepwise_until(spark, sf_dir):
+    """A formula with until, consumed letter by letter as the stream closes them."""
+    atoms = [
+        foreach_element("all_ok", F.col("level") == "OK"),
+        exists_element("some_alert", F.col("level") == "Alert"),
+    ]
+    monitor = StepwiseMonitor(spark, until(now("all_ok"), now("some_alert"), 4), SIX_HOURS, atoms, BY)
+    monitor.run(sensors(spark, sf_dir, streaming=True), lambda s: pollution.pollution1(s, "1 hour"))
+    return with_verdict(monitor.verdicts()).select("sensor_id", "idx", "verdict")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.atoms import Atom, count_rows
@@ -53,17 +53,20 @@ def _last_letter(sparse: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def spine(ends: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """All indexes 0..last_idx of every case, generated in chunks so that one long word is
-    produced by many tasks."""
-    chunked = ends.where(F.col("last_idx") >= 0).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"last_idx div {SPINE_CHUNK}")))
-    )
+def spine(ends: DataFrame, by: Sequence[str] = (), first: Column | None = None) -> DataFrame:
+    """All indexes first..last_idx of every case (from 0 by default), generated in chunks so that one
+    long word is produced by many tasks."""
+    first = F.lit(0).cast("bigint") if first is None else first
+    ranged = ends.withColumn("_first", first).where(F.col("last_idx") >= F.col("_first"))
+    chunk = F.sequence(F.expr(f"_first div {SPINE_CHUNK}"), F.expr(f"last_idx div {SPINE_CHUNK}"))
     low = F.col("_chunk") * F.lit(SPINE_CHUNK)
+    indexes = F.sequence(
+        F.greatest(low, F.col("_first")), F.least(F.col("last_idx"), low + F.lit(SPINE_CHUNK - 1))
+    )
     return (
-        spread(chunked, *by, "_chunk")
-        .withColumn("idx", F.explode(F.sequence(low, F.least(F.col("last_idx"), low + F.lit(SPINE_CHUNK - 1)))))
-        .drop("_chunk")
+        spread(ranged.withColumn("_chunk", F.explode(chunk)), *by, "_chunk")
+        .withColumn("idx", F.explode(indexes))
+        .drop("_chunk", "_first")
     )
 
 

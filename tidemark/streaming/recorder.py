@@ -58,6 +58,31 @@ def store_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def run_to_end(
+    source: DataFrame,
+    subject: Callable[[DataFrame], DataFrame],
+    root: str,
+    store: Callable[[DataFrame, str], None],
+    delay: str = "0 seconds",
+    flush: bool = True,
+    ts: str = "ts",
+) -> None:
+    """Run ``subject`` over the stream ``source`` to its end; ``store(stream, checkpoint)`` processes
+    everything available of a stream."""
+    spark = source.sparkSession
+    checkpoint = f"{root}/checkpoint"
+    if not flush:
+        store(subject(ascending(source, delay, ts)), checkpoint)
+        return
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in source.schema.fields])
+    spark.createDataFrame([], schema).write.parquet(f"{root}/end")
+    end = spark.readStream.schema(schema).parquet(f"{root}/end")
+    result = subject(ascending(source.unionByName(end), delay, ts))
+    store(result, checkpoint)
+    _end_marker(spark, schema, ts).write.mode("append").parquet(f"{root}/end")
+    store(result, checkpoint)
+
+
 def record_stream(
     source: DataFrame,
     subject: Callable[[DataFrame], DataFrame],
@@ -72,20 +97,10 @@ def record_stream(
     without state. A subject must not filter on payload columns when flushing (the marker has none):
     filter the source instead.
     """
-    spark = source.sparkSession
-    root = scratch_path(spark, name)
-    if not flush:
-        store_stream(subject(ascending(source, delay, ts)), f"{root}/out", f"{root}/checkpoint")
-        return read_recorded(spark, f"{root}/out")
-
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in source.schema.fields])
-    spark.createDataFrame([], schema).write.parquet(f"{root}/end")
-    end = spark.readStream.schema(schema).parquet(f"{root}/end")
-    result = subject(ascending(source.unionByName(end), delay, ts))
-    store_stream(result, f"{root}/out", f"{root}/checkpoint")
-    _end_marker(spark, schema, ts).write.mode("append").parquet(f"{root}/end")
-    store_stream(result, f"{root}/out", f"{root}/checkpoint")
-    return read_recorded(spark, f"{root}/out")
+    root = scratch_path(source.sparkSession, name)
+    out = f"{root}/out"
+    run_to_end(source, subject, root, lambda stream, checkpoint: store_stream(stream, out, checkpoint), delay, flush, ts)
+    return read_recorded(source.sparkSession, out)
 
 
 def record_with_timestamps(

@@ -1,0 +1,143 @@
+"""Any formula on a stream, one batch of closed letters at a time.
+
+Each step takes the letters that the watermark has closed since the last one, puts them behind the
+letters that are still open (those from the first undecided position on) and evaluates the formula
+on both. A position's verdict is reported in the step in which it becomes True or False and never
+changes afterwards. A formula looks a bounded number of letters ahead, so the open part of a case
+stays that short, however long the stream is.
+
+A step is one table written to the shared folder under its number. Repeating a step after a failure
+overwrites it with the same rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.kleene import UNDECIDED
+from tidemark.operators.atoms import Atom
+from tidemark.operators.letters import spine
+from tidemark.operators.temporal import Formula, evaluate
+from tidemark.operators.windows import Windows
+from tidemark.session import scratch_path
+from tidemark.streaming.recorder import run_to_end
+
+
+def streaming_letters(stream: DataFrame, windows: Windows, atoms: Sequence[Atom], by: Sequence[str]) -> DataFrame:
+    """Stream of closed letters that have rows: ``by..., idx, atoms``."""
+    if windows.slide_ms is not None:
+        raise ValueError("streaming letters are tumbling windows")
+    size = windows.size_ms
+    start = f"{windows.start_ms % size} milliseconds"
+    letter = F.window("ts", f"{size} milliseconds", startTime=start).alias("w")
+    closed = stream.groupBy(*by, letter).agg(*[atom.aggregate() for atom in atoms])
+    first = F.unix_millis(F.col("w.start")) - F.lit(windows.start_ms)
+    idx = F.floor(first / F.lit(size)).cast("bigint")
+    return closed.select(*by, idx.alias("idx"), *[atom.name for atom in atoms])
+
+
+class StepwiseMonitor:
+    """Verdicts of a formula for the letters of every case in ``by`` (for a single case give a
+    constant column). With the same ``path`` a restarted stream goes on where it stopped."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        formula: Formula,
+        windows: Windows,
+        atoms: Sequence[Atom],
+        by: Sequence[str],
+        path: str | None = None,
+    ) -> None:
+        if not by:
+            raise ValueError("give at least one case column")
+        self._spark, self._formula, self._windows = spark, formula, windows
+        self._atoms, self._by = list(atoms), list(by)
+        self._root = path or scratch_path(spark, "stepwise")
+        self._steps = f"{self._root}/steps"
+        self._last: int | None = None
+
+    def _path(self, step: int) -> str:
+        return f"{self._steps}/step={step}"
+
+    def _open_letters(self, step: int | None) -> DataFrame | None:
+        """What the next step still needs: letters from the first undecided position on, and always
+        the last letter, which says how far the case has come."""
+        if step is None:
+            return None
+        letters = self._spark.read.parquet(self._path(step))
+        first = letters.groupBy(*self._by).agg(
+            F.min(F.when(F.col("value") == UNDECIDED, F.col("idx"))).alias("_first"),
+            F.max("idx").alias("_last"),
+        )
+        keep = letters.join(first, self._by).where(F.col("idx") >= F.coalesce(F.col("_first"), F.col("_last")))
+        return keep.withColumn("reported", F.col("value") != UNDECIDED).drop("_first", "_last", "value", "last_idx")
+
+    def consume(self, closed: DataFrame, step: int | None = None) -> None:
+        """Take in closed letters (``by..., idx, atoms``; later than all before, per case)."""
+        previous = self._last if step is None else (step - 1 if step > 0 else None)
+        step = (0 if previous is None else previous + 1) if step is None else step
+        by = self._by
+        closed = closed.where(F.col("idx") >= 0)
+        open_letters = self._open_letters(previous)
+
+        reach = closed.groupBy(*by).agg(F.max("idx").alias("_new"))
+        reach = reach.withColumn("_old", F.lit(None).cast("bigint"))
+        if open_letters is not None:
+            before = open_letters.groupBy(*by).agg(F.max("idx").alias("_old"))
+            reach = reach.unionByName(before.withColumn("_new", F.lit(None).cast("bigint")))
+        reach = reach.groupBy(*by).agg(F.max("_new").alias("_new"), F.max("_old").alias("_old"))
+        ends = reach.select(
+            *by, F.coalesce("_new", "_old").alias("last_idx"), (F.coalesce("_old", F.lit(-1)) + 1).alias("_from")
+        )
+        added = spine(ends, by, first=F.col("_from").cast("bigint")).join(closed, [*by, "idx"], "left")
+        word = added.select(
+            *by,
+            "idx",
+            self._windows.start_of(F.col("idx")).alias("w_start"),
+            *[atom.or_empty() for atom in self._atoms],
+            F.lit(False).alias("reported"),
+        )
+        if open_letters is not None:
+            word = open_letters.unionByName(word)
+        word = word.join(ends.select(*by, "last_idx"), by)
+        evaluate(word, self._formula, by).write.mode("overwrite").parquet(self._path(step))
+        self._last = step
+
+    def decided(self) -> DataFrame:
+        """``by..., idx, w_start, value, step``: every decided position, with the step that decided it."""
+        steps = self._spark.read.parquet(self._steps)
+        found = steps.where((F.col("value") != UNDECIDED) & ~F.col("reported"))
+        return found.select(*self._by, "idx", "w_start", "value", "step")
+
+    def undecided(self) -> DataFrame:
+        """Positions that need letters which have not come yet."""
+        if self._last is None:
+            raise RuntimeError("nothing consumed yet")
+        latest = self._spark.read.parquet(self._path(self._last)).where(F.col("value") == UNDECIDED)
+        return latest.select(*self._by, "idx", "w_start", "value")
+
+    def verdicts(self) -> DataFrame:
+        return self.decided().drop("step").unionByName(self.undecided())
+
+    def run(self, source: DataFrame, subject: Callable[[DataFrame], DataFrame], flush: bool = True) -> StepwiseMonitor:
+        """Consume the letters of ``subject(source)`` as the stream closes them, to its end."""
+
+        def store(stream: DataFrame, checkpoint: str) -> None:
+            query = (
+                stream.writeStream.outputMode("append")
+                .option("checkpointLocation", checkpoint)
+                .foreachBatch(self.consume)
+                .trigger(availableNow=True)
+                .start()
+            )
+            query.awaitTermination()
+
+        def closed(stream: DataFrame) -> DataFrame:
+            return streaming_letters(subject(stream), self._windows, self._atoms, self._by)
+
+        run_to_end(source, closed, self._root, store, flush=flush)
+        return self
