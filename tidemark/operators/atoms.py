@@ -33,11 +33,10 @@ class Atom:
     def merge(self) -> Column:
         return _KINDS[self.kind][1](self.name).alias(self.name)
 
-    def or_empty(self) -> Column:
-        """The value at a letter without rows."""
+    def or_empty(self, present: Column) -> Column:
+        """The assertion's value, or what it is at a letter without rows (``present`` false)."""
         empty = _KINDS[self.kind][2]
-        column = F.col(self.name)
-        return (column if empty is None else F.coalesce(column, F.lit(empty))).alias(self.name)
+        return F.when(present, F.col(self.name)).otherwise(F.lit(empty)).alias(self.name)
 
 
 # kind -> (aggregate over rows, merge of partial results, value at an empty letter)

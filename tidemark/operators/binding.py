@@ -1,8 +1,9 @@
 """Assertions that tie the rows of one letter to a later letter.
 
-"Every key of letter i is among the keys of letter i + o" for a few offsets o. Both streams are
-first reduced to distinct ``(by, letter, key)``; the input keys are then copied once per offset and
-anti-joined by equality, and only the misses are counted.
+"Every key of letter i is among the keys of letter i + o" for a few offsets o. The early keys are
+copied to each letter in which they are looked for, put together with the late keys and grouped by
+(letter, key): one shuffle of what is left after map-side combining, and no join. A group says
+which offsets wanted the key and whether it was there.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.kleene import FALSE, TRUE, UNDECIDED, code
-from tidemark.operators.sets import minus
 from tidemark.operators.windows import Windows
 
 
@@ -35,13 +35,16 @@ def bind_subset(
     """
     by = list(by)
     columns = [*by, "idx", *keys]
-    bound = windows.assign(early, tms).select(*columns).distinct()
-    seen = windows.assign(late, tms).select(*columns).distinct()
-    wanted = bound.withColumn("_offset", F.explode(F.array(*[F.lit(o) for o in offsets])))
-    wanted = wanted.withColumn("_from", F.col("idx")).withColumn("idx", F.col("idx") + F.col("_offset"))
-    misses = minus(wanted, seen, on=columns)
+    wanted = windows.assign(early, tms).select(*columns)
+    wanted = wanted.withColumn("_offset", F.explode(F.array(*[F.lit(o) for o in offsets])))
+    wanted = wanted.withColumn("idx", F.col("idx") + F.col("_offset"))
+    seen = windows.assign(late, tms).select(*columns, F.lit(None).cast("int").alias("_offset"))
+    looked_for = [F.coalesce(F.bool_or(F.col("_offset") == F.lit(o)), F.lit(False)).alias(f"_for_{o}") for o in offsets]
+    groups = wanted.unionByName(seen).groupBy(*columns).agg(F.bool_or(F.col("_offset").isNull()).alias("_seen"), *looked_for)
+    missing_for = F.array(*[F.when(F.col(f"_for_{o}"), F.lit(o)) for o in offsets])
+    misses = groups.where(~F.col("_seen")).select(*by, "idx", F.explode(F.array_compact(missing_for)).alias("_offset"))
     flags = [F.bool_or(F.col("_offset") == F.lit(o)).alias(f"_miss_{o}") for o in offsets]
-    per_letter = misses.groupBy(*by, F.col("_from").alias("idx")).agg(*flags)
+    per_letter = misses.groupBy(*by, (F.col("idx") - F.col("_offset")).alias("idx")).agg(*flags)
 
     def value(offset: int) -> Column:
         return (

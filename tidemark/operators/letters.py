@@ -107,7 +107,10 @@ def letters(
 
     result = spine(ends, by)
     filled = [*by, "idx", windows.start_of(F.col("idx")).alias("w_start"), "last_idx"]
-    for sparse, atoms in parts.values():
+    for side, (sparse, atoms) in parts.items():
         result = result.join(sparse, [*by, "idx"], "left")
-        filled += [atom.or_empty() for atom in atoms]
+        # Every value refers to the row count, so that it is read together with any of them and
+        # this branch keeps the columns of _last_letter's.
+        present = F.col(f"n_{side}").isNotNull()
+        filled += [atom.or_empty(present) for atom in atoms]
     return result.select(*filled)

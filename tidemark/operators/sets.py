@@ -58,8 +58,10 @@ def missing_per_letter(left: DataFrame, other: DataFrame, keys: Sequence[str], b
     """Per letter, how many distinct keys of ``left`` are absent from the same letter of ``other``.
 
     Both tables carry ``by..., idx``. A letter is a subset iff its count is 0 (letters not listed
-    miss nothing). Both sides are reduced to distinct keys before they meet.
+    miss nothing). Duplicates do not matter here, so the two tables are put together and grouped:
+    one shuffle, combined map-side, and no join that a frequent key could skew.
     """
     columns = [*by, "idx", *keys]
-    absent = minus(left.select(*columns).distinct(), other.select(*columns))
+    both = union_marked(left.select(*columns), other.select(*columns))
+    absent = both.groupBy(*columns).agg(F.bool_and("is_left").alias("absent")).where("absent")
     return absent.groupBy(*by, "idx").agg(F.count(F.lit(1)).alias("n_missing"))

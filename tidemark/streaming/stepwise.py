@@ -93,12 +93,13 @@ class StepwiseMonitor:
         ends = reach.select(
             *by, F.coalesce("_new", "_old").alias("last_idx"), (F.coalesce("_old", F.lit(-1)) + 1).alias("_from")
         )
+        closed = closed.withColumn("_closed", F.lit(True))
         added = spine(ends, by, first=F.col("_from").cast("bigint")).join(closed, [*by, "idx"], "left")
         word = added.select(
             *by,
             "idx",
             self._windows.start_of(F.col("idx")).alias("w_start"),
-            *[atom.or_empty() for atom in self._atoms],
+            *[atom.or_empty(F.col("_closed")) for atom in self._atoms],
             F.lit(False).alias("reported"),
         )
         if open_letters is not None:
