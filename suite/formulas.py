@@ -36,21 +36,15 @@ from tidemark.plans.tips import hourly_max
 from tidemark.sources.tables import fares, incidents, sensors
 
 
-def sensor_word(spark, sf_dir) -> DataFrame:
-    """Six-hour letters of every sensor with the assertions the formulas use."""
-    return letters(
-        SIX_HOURS,
-        BY,
-        input=(sensors(spark, sf_dir), []),
-        output=(
-            hourly_levels(spark, sf_dir),
-            [
-                foreach_element("no_alert", F.col("level") != "Alert"),
-                foreach_element("all_ok", F.col("level") == "OK"),
-                exists_element("some_alert", F.col("level") == "Alert"),
-            ],
-        ),
-    )
+def sensor_word(spark, sf_dir, *names: str) -> DataFrame:
+    """Six-hour letters of every sensor with the assertions a formula uses."""
+    atoms = {
+        "no_alert": foreach_element("no_alert", F.col("level") != "Alert"),
+        "all_ok": foreach_element("all_ok", F.col("level") == "OK"),
+        "some_alert": exists_element("some_alert", F.col("level") == "Alert"),
+    }
+    output = (hourly_levels(spark, sf_dir), [atoms[name] for name in names])
+    return letters(SIX_HOURS, BY, input=(sensors(spark, sf_dir), []), output=output)
 
 
 SENSOR_WORD = (
@@ -76,8 +70,8 @@ def _sql(value: str, source: str = "word") -> str:
     return f"WITH {SENSOR_WORD} SELECT sensor_id, idx, {sql.verdict(value)} AS verdict FROM {source}"
 
 
-def _evaluated(spark, sf_dir, formula: Formula) -> DataFrame:
-    result = with_verdict(evaluate(sensor_word(spark, sf_dir), formula, BY))
+def _evaluated(spark, sf_dir, formula: Formula, *names: str) -> DataFrame:
+    result = with_verdict(evaluate(sensor_word(spark, sf_dir, *names), formula, BY))
     return result.select("sensor_id", "idx", "verdict")
 
 
@@ -86,27 +80,27 @@ NO_ALERT, SOME_ALERT = sql.bit("no_alert"), sql.bit("some_alert")
 
 @query("t_now", _sql(NO_ALERT))
 def t_now(spark, sf_dir):
-    return _evaluated(spark, sf_dir, now("no_alert"))
+    return _evaluated(spark, sf_dir, now("no_alert"), "no_alert")
 
 
 @query("t_next", _sql(f"coalesce(lead({SOME_ALERT}) OVER (PARTITION BY sensor_id ORDER BY idx), 0)"))
 def t_next(spark, sf_dir):
-    return _evaluated(spark, sf_dir, next_(now("some_alert")))
+    return _evaluated(spark, sf_dir, next_(now("some_alert")), "some_alert")
 
 
 @query("t_always", _sql(sql.always(NO_ALERT, 4, BY)))
 def t_always(spark, sf_dir):
-    return _evaluated(spark, sf_dir, always(now("no_alert"), 4))
+    return _evaluated(spark, sf_dir, always(now("no_alert"), 4), "no_alert")
 
 
 @query("t_eventually", _sql(sql.eventually(SOME_ALERT, 4, BY)))
 def t_eventually(spark, sf_dir):
-    return _evaluated(spark, sf_dir, eventually(now("some_alert"), 4))
+    return _evaluated(spark, sf_dir, eventually(now("some_alert"), 4), "some_alert")
 
 
 @query("t_until", _sql(sql.until("all_ok", "some_alert", 4, BY)))
 def t_until(spark, sf_dir):
-    return _evaluated(spark, sf_dir, until(now("all_ok"), now("some_alert"), 4))
+    return _evaluated(spark, sf_dir, until(now("all_ok"), now("some_alert"), 4), "all_ok", "some_alert")
 
 
 @query("t_at", _sql(f"least({sql.bit('n_input >= 2')}, {sql.bit('n_output >= 2')})"))
@@ -117,19 +111,18 @@ def t_at(spark, sf_dir):
 
 @query("t_and_all", _sql(f"least({NO_ALERT}, {sql.bit('n_output > 0')}, {sql.bit('n_input >= 2')})"))
 def t_and_all(spark, sf_dir):
-    return _evaluated(
-        spark, sf_dir, all_of(now("no_alert"), now(F.col("n_output") > 0), now(F.col("n_input") >= 2))
-    )
+    formula = all_of(now("no_alert"), now(F.col("n_output") > 0), now(F.col("n_input") >= 2))
+    return _evaluated(spark, sf_dir, formula, "no_alert")
 
 
 @query("t_or", _sql(f"greatest({sql.bit('some_alert')}, {sql.bit('n_output = 0')})"))
 def t_or(spark, sf_dir):
-    return _evaluated(spark, sf_dir, now("some_alert") | now(F.col("n_output") == 0))
+    return _evaluated(spark, sf_dir, now("some_alert") | now(F.col("n_output") == 0), "some_alert")
 
 
 @query("t_implies", _sql(f"greatest(-({sql.bit('n_output > 0')}), {SOME_ALERT})"))
 def t_implies(spark, sf_dir):
-    return _evaluated(spark, sf_dir, now(F.col("n_output") > 0) >> now("some_alert"))
+    return _evaluated(spark, sf_dir, now(F.col("n_output") > 0) >> now("some_alert"), "some_alert")
 
 
 @query(
@@ -137,7 +130,7 @@ def t_implies(spark, sf_dir):
     _sql(sql.always("e", 3, BY), f"(SELECT *, {sql.eventually(SOME_ALERT, 8, BY)} AS e FROM word)"),
 )
 def t_nested(spark, sf_dir):
-    return _evaluated(spark, sf_dir, always(eventually(now("some_alert"), 8), 3))
+    return _evaluated(spark, sf_dir, always(eventually(now("some_alert"), 8), 3), "some_alert")
 
 
 @query(
@@ -269,5 +262,5 @@ CASE_SQL = f"""
 @query("case_verdict", CASE_SQL)
 def case_verdict_query(spark, sf_dir):
     """One verdict per sensor: the formula's value at its first letter."""
-    evaluated = evaluate(sensor_word(spark, sf_dir), always(now("no_alert"), 4), BY)
+    evaluated = evaluate(sensor_word(spark, sf_dir, "no_alert"), always(now("no_alert"), 4), BY)
     return case_verdict(evaluated, sensors(spark, sf_dir), BY)
