@@ -36,7 +36,7 @@ from tidemark.plans.tips import hourly_max
 from tidemark.sources.tables import fares, incidents, sensors
 
 
-def sensor_word(spark, sf_dir, *names: str) -> DataFrame:
+def sensor_word(spark, sf_dir, *names: str, first: int | None = None) -> DataFrame:
     """Six-hour letters of every sensor with the assertions a formula uses."""
     atoms = {
         "no_alert": foreach_element("no_alert", F.col("level") != "Alert"),
@@ -44,7 +44,7 @@ def sensor_word(spark, sf_dir, *names: str) -> DataFrame:
         "some_alert": exists_element("some_alert", F.col("level") == "Alert"),
     }
     output = (hourly_levels(spark, sf_dir), [atoms[name] for name in names])
-    return letters(SIX_HOURS, BY, input=(sensors(spark, sf_dir), []), output=output)
+    return letters(SIX_HOURS, BY, first=first, input=(sensors(spark, sf_dir), []), output=output)
 
 
 SENSOR_WORD = (
@@ -209,7 +209,7 @@ def safety_harass(spark, sf_dir):
     late AS (SELECT {sql.letter_index()} AS idx, sensor_id FROM daily WHERE level = 'Alert'),
     b AS ({sql.bound('word', 'early', 'late', 'sensor_id', range(3))})
     SELECT idx, bound_0, bound_1, bound_2,
-           {sql.verdict(sql.always('greatest(bound_0, bound_1, bound_2)', 4))} AS verdict FROM b
+           {sql.verdict(sql.always('greatest(bound_0, bound_1, bound_2)', 2))} AS verdict FROM b
     """,
 )
 def bound_alert_liveness(spark, sf_dir):
@@ -221,7 +221,7 @@ def bound_alert_liveness(spark, sf_dir):
     high = source.where(exceeds(F.col("concentration"), 400.0))
     bound = bind_subset(word, high, levels.where(F.col("level") == "Alert"), SIX_HOURS, ["sensor_id"], range(3))
     names = ["bound_0", "bound_1", "bound_2"]
-    result = with_verdict(evaluate(bound, always(any_of(*[coded(n) for n in names]), 4)))
+    result = with_verdict(evaluate(bound, always(any_of(*[coded(n) for n in names]), 2)))
     return result.select("idx", *[F.col(n).cast("int").alias(n) for n in names], "verdict")
 
 
@@ -262,5 +262,7 @@ CASE_SQL = f"""
 @query("case_verdict", CASE_SQL)
 def case_verdict_query(spark, sf_dir):
     """One verdict per sensor: the formula's value at its first letter."""
-    evaluated = evaluate(sensor_word(spark, sf_dir, "no_alert"), always(now("no_alert"), 4), BY)
+    formula = always(now("no_alert"), 4)
+    word = sensor_word(spark, sf_dir, "no_alert", first=1 + formula.lookahead())
+    evaluated = evaluate(word, formula, BY)
     return case_verdict(evaluated, sensors(spark, sf_dir), BY)

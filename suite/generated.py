@@ -140,7 +140,7 @@ def property_sql(
 
 def _ints(windows: int = 10) -> str:
     rows = sql.rows(sql.always_windows(windows), 10, 50)
-    return sql.placed(rows, 50, f"({sql.mix('h + 2')}) * 2 - 2147483587 AS value")
+    return sql.placed(rows, 50, f"({sql.mix('h + 2')}) * 2 - 2147483629 AS value")
 
 
 def _sensors(windows: int, n: int, m: int, sensors: int, low: float, high: float) -> str:

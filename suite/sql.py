@@ -155,9 +155,12 @@ def bound(letters: str, early: str, late: str, key: str, offsets: Sequence[int],
 
 
 def mix(x: str) -> str:
-    for a, b, m in ((48271, 12345, 2147483647), (69621, 7919, 2147483629), (40692, 104729, 2147483587)):
+    steps = ((48271, 12345, 2147483647), (40692, 104729, 2147483587), (69621, 7919, 2147483629))
+    for i, (a, b, m) in enumerate(steps):
+        if i > 0:
+            x = f"CAST(reverse(CAST({x} AS VARCHAR)) AS BIGINT)"
         x = f"(({x}) * {a} + {b}) % {m}"
-    return x
+    return f"({x})"
 
 
 def tenths(h: str, low: float, high: float) -> str:

@@ -9,19 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Multiplier, increment and modulus of each step. The moduli are different primes below 2**31:
-# one alone would keep differences between neighbours, two after each other do not, and every
-# product fits a BIGINT.
-STEPS = ((48271, 12345, 2147483647), (69621, 7919, 2147483629), (40692, 104729, 2147483587))
+# Multiplier, increment and modulus of each linear step; every product fits a BIGINT.
+STEPS = ((48271, 12345, 2147483647), (40692, 104729, 2147483587), (69621, 7919, 2147483629))
 MODULUS = STEPS[-1][2]
 
 
 def mix(x: Column) -> Column:
     """Scramble a non-negative BIGINT below 2**47 into [0, MODULUS).
 
-    ``x`` occurs once in the expression, so chained hashes stay small when Spark merges them.
+    Linear steps alone keep neighbours in step, so the decimal digits are reversed in between. ``x``
+    occurs once in the expression, so chained hashes stay small when Spark merges them.
     """
-    for multiplier, increment, modulus in STEPS:
+    for i, (multiplier, increment, modulus) in enumerate(STEPS):
+        if i > 0:
+            x = F.reverse(x.cast("string")).cast("bigint")
         x = (x * F.lit(multiplier) + F.lit(increment)) % F.lit(modulus)
     return x
 

@@ -74,13 +74,15 @@ def letters(
     windows: Windows,
     by: Sequence[str] = (),
     cap: int | None = None,
+    first: int | None = None,
     tms: str = "tms",
     **sides: tuple[DataFrame, Sequence[Atom]],
 ) -> DataFrame:
     """Letters of one stream, or of several aligned ones: ``letters(w, src=(df, [atom, ...]))``.
 
     Empty windows in the middle are rows with the assertions' empty values. With several sides the
-    word ends with the shorter one. ``cap`` is the largest number of letters per case.
+    word ends with the shorter one. ``cap`` is the largest number of letters per case. ``first`` gives
+    only the first letters of each word, which still ends where it ends (``last_idx``).
     """
     by = list(by)
     parts: dict[str, tuple[DataFrame, list[Atom]]] = {}
@@ -105,7 +107,12 @@ def letters(
     if cap is not None:
         ends = ends.withColumn("last_idx", F.least("last_idx", F.lit(cap - 1).cast("bigint")))
 
-    result = spine(ends, by)
+    if first is None:
+        result = spine(ends, by)
+    else:
+        until = ends.withColumn("_end", F.col("last_idx"))
+        until = until.withColumn("last_idx", F.least("last_idx", F.lit(first - 1).cast("bigint")))
+        result = spine(until, by).withColumn("last_idx", F.col("_end")).drop("_end")
     filled = [*by, "idx", windows.start_of(F.col("idx")).alias("w_start"), "last_idx"]
     for side, (sparse, atoms) in parts.items():
         result = result.join(sparse, [*by, "idx"], "left")

@@ -9,55 +9,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.levels import EMERGENCY_LIMITS, emergency_level, exceeds, level_by_counts
-
-
-def window_columns(window: str = "w") -> list[Column]:
-    """Event time and end of a window's result row."""
-    return [F.window_time(window).alias("ts"), F.unix_millis(F.col(f"{window}.end")).alias("w_end")]
-
-
-def keyed_window_max(
-    df: DataFrame, key: str, value: str, size: str, slide: str | None = None, keys: Sequence[str] = ()
-) -> DataFrame:
-    """Largest value per key and window: ``keys..., ts, w_end, key, value``."""
-    window = F.window("ts", size, slide).alias("w")
-    return df.groupBy(*keys, window, key).agg(F.max(value).alias(value)).select(*keys, *window_columns(), key, value)
+from tidemark.operators.event_windows import window_aggregate
 
 
 def pollution1(
     df: DataFrame, size: str = "1 second", slide: str | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Level of every sensor by its maximum in the window."""
-    top = keyed_window_max(df, "sensor_id", "concentration", size, slide, keys)
-    return top.select(*keys, "ts", "w_end", "sensor_id", emergency_level(F.col("concentration")).alias("level"))
+    top = window_aggregate(df, {"top": F.max("concentration")}, size, slide, [*keys, "sensor_id"])
+    return top.select(*keys, "ts", "w_end", "sensor_id", emergency_level(F.col("top")).alias("level"))
 
 
 def pollution2(
     df: DataFrame, size: str = "3 seconds", slide: str = "1 second", keys: Sequence[str] = ()
 ) -> DataFrame:
     """Global level by the number of sensors whose mean in the sliding window is over a limit."""
-    means = (
-        df.groupBy(*keys, F.window("ts", size, slide).alias("w"), "sensor_id")
-        .agg(F.avg("concentration").alias("mean"))
-        .select(*keys, F.window(F.window_time("w"), slide).alias("w"), "mean")
-    )
-    counts = [F.count_if(exceeds(F.col("mean"), limit)).alias(name) for name, limit in EMERGENCY_LIMITS]
-    level = level_by_counts({name: F.col(name) for name, _ in EMERGENCY_LIMITS})
-    return means.groupBy(*keys, "w").agg(*counts).select(*keys, *window_columns(), level.alias("level"))
+    means = window_aggregate(df, {"mean": F.avg("concentration")}, size, slide, [*keys, "sensor_id"])
+    counts = {name: F.count_if(exceeds(F.col("mean"), limit)) for name, limit in EMERGENCY_LIMITS}
+    level = level_by_counts({name: F.col(name) for name in counts})
+    return window_aggregate(means, counts, slide, by=keys).select(*keys, "ts", "w_end", level.alias("level"))
 
 
 def sensor_window_mean(df: DataFrame, slot: str = "1 second", keys: Sequence[str] = ()) -> DataFrame:
     """Mean per sensor and slot, with the last event time it covers."""
-    window = F.window("ts", slot).alias("w")
-    return (
-        df.groupBy(*keys, window, "sensor_id")
-        .agg(F.avg("concentration").alias("concentration"), F.unix_millis(F.max("ts")).alias("last_tms"))
-        .select(*keys, *window_columns(), "sensor_id", "concentration", "last_tms")
-    )
+    values = {"concentration": F.avg("concentration"), "last_tms": F.unix_millis(F.max("ts"))}
+    return window_aggregate(df, values, slot, by=[*keys, "sensor_id"])
 
 
 def pollution3(
@@ -70,34 +50,17 @@ def pollution3(
 ) -> DataFrame:
     """Global level and its sensors: a sensor counts when all its slot means in the window are over
     the limit and there are at least ``min_slots`` of them."""
-    slots = df.groupBy(*keys, F.window("ts", slot).alias("w"), "sensor_id").agg(F.avg("concentration").alias("mean"))
-    windowed = (
-        slots.select(*keys, F.window(F.window_time("w"), size, slide).alias("w"), "sensor_id", "mean")
-        .groupBy(*keys, "w", "sensor_id")
-        .agg(F.min("mean").alias("low"), F.count(F.lit(1)).alias("n"))
-        .select(
-            *keys,
-            F.window(F.window_time("w"), slide).alias("w"),
-            "sensor_id",
-            F.when(F.col("n") >= min_slots, F.col("low")).alias("low"),
-        )
-    )
-    lowest = EMERGENCY_LIMITS[-1][1]
-    counts = [F.count_if(exceeds(F.col("low"), limit)).alias(name) for name, limit in EMERGENCY_LIMITS]
+    by_sensor = [*keys, "sensor_id"]
+    slots = window_aggregate(df, {"mean": F.avg("concentration")}, slot, by=by_sensor)
+    spans = window_aggregate(slots, {"low": F.min("mean"), "n": F.count(F.lit(1))}, size, slide, by_sensor)
+    spans = spans.withColumn("low", F.when(F.col("n") >= min_slots, F.col("low")))
+
+    counts = {name: F.count_if(exceeds(F.col("low"), limit)) for name, limit in EMERGENCY_LIMITS}
     # One list of candidates instead of one per level; the chosen level's sensors are cut from it.
+    lowest = min(limit for _, limit in EMERGENCY_LIMITS)
     candidates = F.collect_list(F.when(exceeds(F.col("low"), lowest), F.struct("sensor_id", "low")))
-    result = windowed.groupBy(*keys, "w").agg(*counts, candidates.alias("candidates"))
-    level = level_by_counts({name: F.col(name) for name, _ in EMERGENCY_LIMITS})
-    limits = {name: limit for name, limit in EMERGENCY_LIMITS}
-    limit = F.coalesce(*[F.when(F.col("level") == name, F.lit(v)) for name, v in limits.items()])
-    chosen = F.transform(F.filter("candidates", lambda s: s["low"] > F.col("limit")), lambda s: s["sensor_id"])
-    return (
-        result.select(*keys, "w", "candidates", level.alias("level"))
-        .withColumn("limit", limit)
-        .select(
-            *keys,
-            *window_columns(),
-            "level",
-            F.when(F.col("limit").isNull(), F.slice(chosen, 1, 0)).otherwise(F.sort_array(chosen)).alias("sensors"),
-        )
-    )
+    result = window_aggregate(spans, {**counts, "candidates": candidates}, slide, by=keys)
+    result = result.withColumn("level", level_by_counts({name: F.col(name) for name in counts}))
+    limit = F.coalesce(*[F.when(F.col("level") == name, F.lit(limit)) for name, limit in EMERGENCY_LIMITS])
+    chosen = F.transform(F.filter("candidates", lambda s: s["low"] > limit), lambda s: s["sensor_id"])
+    return result.select(*keys, "ts", "w_end", "level", F.sort_array(chosen).alias("sensors"))

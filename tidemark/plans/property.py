@@ -42,12 +42,16 @@ class Property:
     relate: Relate | None = None
     max_letters: int | None = MAX_LETTERS
 
-    def evaluate(self, source: DataFrame, output: DataFrame, by: Sequence[str] = CASE) -> DataFrame:
-        """The formula's value at every letter of every case. Both tables carry ``by..., tms``."""
+    def evaluate(
+        self, source: DataFrame, output: DataFrame, by: Sequence[str] = CASE, first: int | None = None
+    ) -> DataFrame:
+        """The formula's value at every letter of every case (at the first ones only, if ``first`` is
+        given). Both tables carry ``by..., tms``."""
         word = letters(
             self.windows,
             by,
             self.max_letters,
+            None if first is None else first + self.formula.lookahead(),
             input=(source, self.input_atoms),
             output=(output, self.output_atoms),
         )
@@ -66,4 +70,4 @@ def for_all_cases(
     rows would be computed for each of them."""
     source = record_table(source, "case-input")
     output = subject(source).withColumn("tms", F.unix_millis("ts"))
-    return case_verdict(prop.evaluate(source, output, by), cases, by)
+    return case_verdict(prop.evaluate(source, output, by, first=1), cases, by)
