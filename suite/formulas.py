@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ from tidemark.operators.temporal import (
 from tidemark.operators.windows import Windows
 from tidemark.plans.harass import harass_max
 from tidemark.plans.pollution import pollution1
+from tidemark.plans.property import Property, for_all_cases
 from tidemark.plans.tips import hourly_max
 from tidemark.sources.tables import fares, incidents, sensors
 
@@ -266,3 +269,17 @@ def case_verdict_query(spark, sf_dir):
     word = sensor_word(spark, sf_dir, "no_alert", first=1 + formula.lookahead())
     evaluated = evaluate(word, formula, BY)
     return case_verdict(evaluated, sensors(spark, sf_dir), BY)
+
+
+@query("property_cases", f"SELECT sensor_id AS case_id, verdict, passed FROM ({CASE_SQL})")
+def property_cases(spark, sf_dir):
+    """A property over recorded data: every sensor is a case."""
+    source = sensors(spark, sf_dir).withColumn("case_id", F.col("sensor_id"))
+    prop = Property(
+        SIX_HOURS,
+        always(now("no_alert"), 4),
+        output_atoms=[foreach_element("no_alert", F.col("level") != "Alert")],
+        max_letters=None,
+    )
+    subject = partial(pollution1, size="1 hour", keys=["case_id"])
+    return for_all_cases(prop, source, subject, source, record=False)

@@ -3,6 +3,8 @@ is compared with the batch SQL."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,13 +12,15 @@ from suite import sql
 from suite.events import HOURLY_MAX_SQL, POLLUTION2_SQL, POLLUTION3_SQL, SIX_HOURS, joined_sensors
 from suite.formulas import BY, CASE_SQL, NO_ALERT, SENSOR_WORD, SOME_ALERT
 from suite.generated import QUARTER, cases
-from suite.registry import query
+from suite.registry import ORACLES, query
 from tidemark.operators import generators as g
 from tidemark.operators.atoms import exists_element, foreach_element
 from tidemark.operators.letters import letters
 from tidemark.operators.temporal import always, case_verdict, evaluate, now, until, with_verdict
 from tidemark.operators.windows import Windows
 from tidemark.plans import harass, pollution, tips
+from tidemark.plans.properties import PROPERTIES
+from tidemark.plans.property import for_all_cases
 from tidemark.sources.tables import fares, incidents, sensors
 from tidemark.streaming.monitor import complete_verdicts, monitor_always, monitor_eventually
 from tidemark.streaming.recorder import record_stream, record_with_timestamps, replay
@@ -156,3 +160,10 @@ def stream_stepwise_until(spark, sf_dir):
     monitor = StepwiseMonitor(spark, until(now("all_ok"), now("some_alert"), 4), SIX_HOURS, atoms, BY)
     monitor.run(sensors(spark, sf_dir, streaming=True), lambda s: pollution.pollution1(s, "1 hour"))
     return with_verdict(monitor.verdicts()).select("sensor_id", "idx", "verdict")
+
+
+@query("stream_property_cases", ORACLES["prop_danger_never_safe_fails"])
+def stream_property_cases(spark, sf_dir):
+    """A property over generated cases with the pipeline under test run as a stream."""
+    check = partial(for_all_cases, streaming=True)
+    return PROPERTIES["prop_danger_never_safe_fails"](cases(spark, sf_dir), check)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pytest
 from conftest import rows
 
@@ -72,3 +74,9 @@ def test_cases_do_not_mix(spark):
     source = sensor_rows(some, 5, 10, 20, 5, 180.1, 1000.0)
     prop = Property(Windows(1000), always(now("few"), 5), output_atoms=[foreach_element("few", F.col("sensor_id") < 5)])
     assert rows(for_all_cases(prop, source, lambda df: pollution1(df, keys=CASE), some), "verdict") == [("True",)] * 3
+
+
+@pytest.mark.parametrize("name", ["prop_filter_nonneg", "prop_time_monotone", "prop_driver_until_driver"])
+def test_streaming_run_gives_the_same_verdicts(spark, name):
+    some = cases(spark)
+    assert rows(PROPERTIES[name](some, partial(for_all_cases, streaming=True))) == rows(PROPERTIES[name](some))

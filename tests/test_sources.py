@@ -81,4 +81,4 @@ def test_fares_are_one_row_per_ride_id(spark):
 
 def test_record_table(spark):
     df = spark.range(5).withColumn("v", F.col("id") * 2)
-    assert rows(record_table(df, "t")) == rows(df)
+    assert rows(record_table(df, scratch_path(spark, "t"))) == rows(df)

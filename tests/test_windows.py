@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.atoms import exists_element, foreach_element
 from tidemark.operators.letters import letters
-from tidemark.operators.windows import Windows
+from tidemark.operators.windows import Discretizer, Windows
 
 
 def timed(spark, times):
@@ -142,3 +142,27 @@ def test_word_longer_than_a_spine_chunk(spark):
     word = letters(Windows(1), rows=(timed(spark, [0, 9000]), []))
     got = word.agg(F.count(F.lit(1)), F.min("idx"), F.max("idx"), F.countDistinct("idx"), F.sum("n_rows")).first()
     assert tuple(got) == (9001, 0, 9000, 9001, 2)
+
+
+def test_first_letters_only(spark):
+    word = letters(Windows(10), first=3, rows=(timed(spark, [0, 999]), []))
+    assert rows(word, "idx", "last_idx") == [(0, 99), (1, 99), (2, 99)]
+
+
+def test_windows_of_ones_own(spark):
+    """Months: neither equally long nor a slide apart."""
+
+    class Months(Discretizer):
+        def panes(self, df, tms="tms"):
+            time = F.timestamp_millis(F.col(tms))
+            return df.withColumn("_pane", ((F.year(time) - 2024) * 12 + F.month(time) - 1).cast("bigint"))
+
+        def start_of(self, idx):
+            return F.unix_millis(F.add_months(F.lit("2024-01-01").cast("date"), idx.cast("int")).cast("timestamp"))
+
+    day = 86_400_000
+    start = 1704067200000
+    df = timed(spark, [start, start + 30 * day, start + 31 * day, start + 95 * day])
+    word = letters(Months(), rows=(df, []))
+    assert rows(word, "idx", "w_start", "n_rows") == [
+        (0, start, 2), (1, start + 31 * day, 1), (2, start + 60 * day, 0), (3, start + 91 * day, 1)]

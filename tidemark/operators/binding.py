@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.kleene import FALSE, TRUE, UNDECIDED, code
-from tidemark.operators.windows import Windows
+from tidemark.operators.windows import Discretizer
 
 
 def bind_subset(
     letters: DataFrame,
     early: DataFrame,
     late: DataFrame,
-    windows: Windows,
+    windows: Discretizer,
     keys: Sequence[str],
     offsets: Sequence[int],
     by: Sequence[str] = (),

@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.atoms import Atom, count_rows
-from tidemark.operators.windows import Windows
+from tidemark.operators.windows import Discretizer
 from tidemark.session import spread
 
 SPINE_CHUNK = 4096
 
 
 def sparse_letters(
-    df: DataFrame, windows: Windows, atoms: Sequence[Atom], by: Sequence[str] = (), tms: str = "tms"
+    df: DataFrame, windows: Discretizer, atoms: Sequence[Atom], by: Sequence[str] = (), tms: str = "tms"
 ) -> DataFrame:
     """Assertions of every window that has rows, unordered: ``by, idx, atoms``.
 
@@ -71,7 +71,7 @@ def spine(ends: DataFrame, by: Sequence[str] = (), first: Column | None = None)
 
 
 def letters(
-    windows: Windows,
+    windows: Discretizer,
     by: Sequence[str] = (),
     cap: int | None = None,
     first: int | None = None,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import Windows
+from tidemark.operators.windows import Discretizer
 
 EXAMPLES = 4
 SAMPLES = 5
@@ -26,7 +26,7 @@ def first_rows(df: DataFrame, n: int, order: Sequence[str], by: Sequence[str] =
 
 def failing_examples(
     df: DataFrame,
-    windows: Windows,
+    windows: Discretizer,
     predicate: Column,
     order: Sequence[str],
     n: int = EXAMPLES,
@@ -40,7 +40,7 @@ def failing_examples(
 
 def window_head(
     df: DataFrame,
-    windows: Windows,
+    windows: Discretizer,
     order: Sequence[str],
     n: int = SAMPLES,
     by: Sequence[str] = (),

@@ -19,8 +19,39 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b).cast("bigint"))
 
 
+class Discretizer:
+    """How rows are put into windows. Subclasses give ``panes`` and ``start_of``; a row belongs to the
+    window whose number is its ``_pane``, unless windows overlap."""
+
+    overlapping = False
+    gaps = False
+
+    def panes(self, df: DataFrame, tms: str = "tms") -> DataFrame:
+        """Rows with a BIGINT ``_pane`` >= 0; rows in no window are dropped."""
+        raise NotImplementedError
+
+    def start_of(self, idx: Column) -> Column:
+        """Start of a window in epoch milliseconds."""
+        raise NotImplementedError
+
+    def pane_windows(self, pane: Column) -> Column:
+        """Array of the windows that contain a pane (needed when they overlap)."""
+        return F.array(pane)
+
+    def assign(self, df: DataFrame, tms: str = "tms") -> DataFrame:
+        """Rows tagged with ``idx`` and ``w_start``; with overlap a row appears once per window."""
+        tagged = self.panes(df, tms)
+        if self.overlapping:
+            tagged = tagged.withColumn("idx", F.explode(self.pane_windows(F.col("_pane"))))
+        else:
+            tagged = tagged.withColumn("idx", F.col("_pane"))
+        if self.gaps:
+            tagged = tagged.where("_inside").drop("_inside")
+        return tagged.drop("_pane").withColumn("w_start", self.start_of(F.col("idx")))
+
+
 @dataclass(frozen=True)
-class Windows:
+class Windows(Discretizer):
     """Tumbling windows of ``size_ms``, or sliding ones when ``slide_ms`` is given.
 
     With tumbling windows a row less than one size before ``start_ms`` belongs to window 0,
@@ -75,21 +106,7 @@ class Windows:
         return tagged
 
     def pane_windows(self, pane: Column) -> Column:
-        """Indexes of all windows that contain a pane (overlapping windows only)."""
+        # a negative numerator, at the first panes, truncates to at most 0, which is right there
         per_size, per_step = self.size_ms // self.pane_ms, self.step_ms // self.pane_ms
         first = F.greatest(F.lit(0).cast("bigint"), _div(pane - F.lit(per_size) + F.lit(per_step), per_step))
         return F.sequence(first, _div(pane, per_step))
-
-    # -- rows -------------------------------------------------------------------------------
-
-    def assign(self, df: DataFrame, tms: str = "tms") -> DataFrame:
-        """Rows tagged with ``idx`` and ``w_start``; with overlap a row appears once per window."""
-        tagged = self.panes(df, tms)
-        if self.overlapping:
-            # pane - per_size + per_step is negative only for the first panes, where 0 is right
-            tagged = tagged.withColumn("idx", F.explode(self.pane_windows(F.col("_pane"))))
-        else:
-            tagged = tagged.withColumn("idx", F.col("_pane"))
-        if self.gaps:
-            tagged = tagged.where("_inside").drop("_inside")
-        return tagged.drop("_pane").withColumn("w_start", self.start_of(F.col("idx")))

@@ -1,6 +1,7 @@
 """The concrete properties: generated input, pipeline under test, formula.
 
-Each takes the table of test cases (``case_id``) and gives one verdict per case.
+Each takes the table of test cases (``case_id``) and gives one verdict per case. ``check`` runs the
+property: :func:`for_all_cases` in batch, or with ``streaming=True`` bound for a streaming run.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from tidemark.plans.pollution import pollution1
 from tidemark.plans.property import CASE, Property, for_all_cases
 from tidemark.plans.tips import hourly_max, tips_per_hour_driver
 
+Check = Callable[..., DataFrame]
 SECOND, MINUTE, HOUR = 1000, 60_000, 3_600_000
 GEN_MS = 50
 
@@ -94,7 +96,7 @@ def alternating_rows(cases: DataFrame, timeout: int = 6) -> DataFrame:
 # -- properties ----------------------------------------------------------------------------------
 
 
-def prop_filter_nonneg(cases: DataFrame) -> DataFrame:
+def prop_filter_nonneg(cases: DataFrame, check: Check = for_all_cases) -> DataFrame:
     """After dropping negative numbers all are >= 0 and occur in the input."""
 
     def subset(word: DataFrame, source: DataFrame, output: DataFrame) -> DataFrame:
@@ -108,40 +110,40 @@ def prop_filter_nonneg(cases: DataFrame) -> DataFrame:
         output_atoms=[foreach_element("not_negative", F.col("value") >= 0)],
         relate=subset,
     )
-    return for_all_cases(prop, int_rows(cases), lambda df: df.where(~(F.col("value") < 0)), cases)
+    return check(prop, int_rows(cases), lambda df: df.where(~(F.col("value") < 0)), cases)
 
 
-def prop_time_monotone(cases: DataFrame) -> DataFrame:
+def prop_time_monotone(cases: DataFrame, check: Check = for_all_cases) -> DataFrame:
     """The time of the next letter is never smaller."""
     prop = Property(Windows(2 * GEN_MS), always(bind_next(lambda this, nxt: this("w_start") <= nxt("w_start")), 4))
-    return for_all_cases(prop, int_rows(cases), lambda df: df, cases)
+    return check(prop, int_rows(cases), lambda df: df, cases)
 
 
-def prop_slide_step(cases: DataFrame) -> DataFrame:
+def prop_slide_step(cases: DataFrame, check: Check = for_all_cases) -> DataFrame:
     """Sliding windows advance by exactly one slide."""
     step = bind_next(lambda this, nxt: nxt("w_start") - this("w_start") == GEN_MS)
     prop = Property(Windows(2 * GEN_MS, GEN_MS), always(step, 4))
-    return for_all_cases(prop, int_rows(cases), lambda df: df, cases)
+    return check(prop, int_rows(cases), lambda df: df, cases)
 
 
-def prop_event_time_field(cases: DataFrame) -> DataFrame:
+def prop_event_time_field(cases: DataFrame, check: Check = for_all_cases) -> DataFrame:
     """A field assigned from the event time equals it."""
     rows = field_from_event_time(int_rows(cases, 4), "timestamp")
     same = foreach_element("same", F.col("tms") == F.col("timestamp"))
     prop = Property(Windows(2 * GEN_MS), always(now("same"), 2), output_atoms=[same])
-    return for_all_cases(prop, rows, lambda df: df, cases)
+    return check(prop, rows, lambda df: df, cases)
 
 
-def prop_high_never_ok(cases: DataFrame) -> DataFrame:
+def prop_high_never_ok(cases: DataFrame, check: Check = for_all_cases) -> DataFrame:
     """When all readings are over 180, no level is OK."""
     rows = sensor_rows(cases, 5, 10, 50, 10, 180.1, 1000.0)
     prop = Property(
         Windows(SECOND), always(now("not_ok"), 5), output_atoms=[foreach_element("not_ok", F.col("level") != "OK")]
     )
-    return for_all_cases(prop, rows, lambda df: pollution1(df, keys=CASE), cases)
+    return check(prop, rows, lambda df: pollution1(df, keys=CASE), cases)
 
 
-def prop_high_eventually_alert(cases: DataFrame) -> DataFrame:
+def prop_high_eventually_alert(cases: DataFrame, check: Check = for_all_cases) -> DataFrame:
     """All sensors of a letter with a reading over 400 are flagged Alert together, now or within
     the next four letters."""
     cut = Windows(SECOND // 4)
@@ -153,27 +155,27 @@ def prop_high_eventually_alert(cases: DataFrame) -> DataFrame:
     formula = always(any_of(*[coded(f"bound_{o}") for o in range(5)]), 10)
     prop = Property(cut, formula, relate=detected)
     rows = sensor_rows(cases, 5, 5, 10, 30, 500.0, 1000.0)
-    return for_all_cases(prop, rows, lambda df: pollution1(df, keys=CASE), cases)
+    return check(prop, rows, lambda df: pollution1(df, keys=CASE), cases)
 
 
-def _never_safe(cases: DataFrame, rows: DataFrame) -> DataFrame:
+def _never_safe(cases: DataFrame, rows: DataFrame, check: Check) -> DataFrame:
     prop = Property(
         Windows(HOUR), always(now("not_safe"), 20), output_atoms=[foreach_element("not_safe", F.col("level") != "Safe")]
     )
-    return for_all_cases(prop, rows, lambda df: harass_max(df, keys=CASE), cases)
+    return check(prop, rows, lambda df: harass_max(df, keys=CASE), cases)
 
 
-def prop_danger_never_safe(cases: DataFrame) -> DataFrame:
+def prop_danger_never_safe(cases: DataFrame, check: Check = for_all_cases) -> DataFrame:
     """When every danger is over 1, no zone is Safe."""
-    return _never_safe(cases, incident_rows(cases, HOUR, 20, 15, 50, 1.1, 10.0))
+    return _never_safe(cases, incident_rows(cases, HOUR, 20, 15, 50, 1.1, 10.0), check)
 
 
-def prop_danger_never_safe_fails(cases: DataFrame) -> DataFrame:
+def prop_danger_never_safe_fails(cases: DataFrame, check: Check = for_all_cases) -> DataFrame:
     """The same with few incidents and dangers from 0.5: most cases falsify it."""
-    return _never_safe(cases, incident_rows(cases, HOUR, 20, 2, 5, 0.5, 10.0))
+    return _never_safe(cases, incident_rows(cases, HOUR, 20, 2, 5, 0.5, 10.0), check)
 
 
-def prop_extreme_eventually_flagged(cases: DataFrame) -> DataFrame:
+def prop_extreme_eventually_flagged(cases: DataFrame, check: Check = for_all_cases) -> DataFrame:
     """When a letter has dangers over 8, their zones are flagged Extreme together, now or within
     the next three letters."""
     cut = Windows(15 * MINUTE)
@@ -190,20 +192,20 @@ def prop_extreme_eventually_flagged(cases: DataFrame) -> DataFrame:
         relate=flagged,
     )
     rows = incident_rows(cases, 30 * MINUTE, 2, 50, 50, 0.0, 10.0)
-    return for_all_cases(prop, rows, lambda df: harass_max(df, keys=CASE), cases)
+    return check(prop, rows, lambda df: harass_max(df, keys=CASE), cases)
 
 
-def prop_one_driver_one_tip(cases: DataFrame) -> DataFrame:
+def prop_one_driver_one_tip(cases: DataFrame, check: Check = for_all_cases) -> DataFrame:
     """With a single fare of driver 42, some letter has that driver as the only hourly maximum."""
     prop = Property(
         Windows(15 * MINUTE),
         eventually(all_of(now(F.col("n_output") == 1), now("is_42")), 4),
         output_atoms=[foreach_element("is_42", F.col("driver_id") == 42)],
     )
-    return for_all_cases(prop, one_driver_rows(cases), lambda df: hourly_max(df, keys=CASE), cases)
+    return check(prop, one_driver_rows(cases), lambda df: hourly_max(df, keys=CASE), cases)
 
 
-def prop_tips_summed_by_hour(cases: DataFrame, factor: int = 6) -> DataFrame:
+def prop_tips_summed_by_hour(cases: DataFrame, check: Check = for_all_cases, factor: int = 6) -> DataFrame:
     """Six tips of ten times the driver id make sixty times the driver id per hour."""
     expected = F.col("driver_id") * F.lit(10.0 * factor)
     prop = Property(
@@ -211,16 +213,16 @@ def prop_tips_summed_by_hour(cases: DataFrame, factor: int = 6) -> DataFrame:
         always(now("right_sum"), 4),
         output_atoms=[foreach_element("right_sum", F.col("tips") == expected)],
     )
-    return for_all_cases(prop, fixed_fare_rows(cases, factor), lambda df: tips_per_hour_driver(df, keys=CASE), cases)
+    return check(prop, fixed_fare_rows(cases, factor), lambda df: tips_per_hour_driver(df, keys=CASE), cases)
 
 
-def prop_single_hourly_max(cases: DataFrame) -> DataFrame:
+def prop_single_hourly_max(cases: DataFrame, check: Check = for_all_cases) -> DataFrame:
     """Every hour has exactly one maximum."""
     prop = Property(Windows(HOUR), always(now(F.col("n_output") == 1), 5))
-    return for_all_cases(prop, any_fare_rows(cases), lambda df: hourly_max(df, keys=CASE), cases)
+    return check(prop, any_fare_rows(cases), lambda df: hourly_max(df, keys=CASE), cases)
 
 
-def prop_driver_until_driver(cases: DataFrame) -> DataFrame:
+def prop_driver_until_driver(cases: DataFrame, check: Check = for_all_cases) -> DataFrame:
     """Driver 1 is on top until driver 2 is."""
     prop = Property(
         Windows(HOUR),
@@ -230,9 +232,9 @@ def prop_driver_until_driver(cases: DataFrame) -> DataFrame:
             foreach_element("two_top", F.col("driver_id") == 2),
         ],
     )
-    return for_all_cases(prop, alternating_rows(cases), lambda df: hourly_max(df, keys=CASE), cases)
+    return check(prop, alternating_rows(cases), lambda df: hourly_max(df, keys=CASE), cases)
 
 
-PROPERTIES: dict[str, Callable[[DataFrame], DataFrame]] = {
+PROPERTIES: dict[str, Callable[..., DataFrame]] = {
     name: fn for name, fn in list(globals().items()) if name.startswith("prop_")
 }

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.atoms import Atom
 from tidemark.operators.letters import letters
 from tidemark.operators.temporal import Formula, case_verdict, evaluate
-from tidemark.operators.windows import Windows
+from tidemark.operators.windows import Discretizer
+from tidemark.session import scratch_path
 from tidemark.sources.recordings import record_table
+from tidemark.streaming.recorder import read_as_stream, record_stream
 
 MAX_LETTERS = 100
 CASE = ("case_id",)
@@ -35,7 +37,7 @@ class Property:
     stream; ``relate`` adds columns that need rows of both.
     """
 
-    windows: Windows
+    windows: Discretizer
     formula: Formula
     input_atoms: Sequence[Atom] = field(default_factory=tuple)
     output_atoms: Sequence[Atom] = field(default_factory=tuple)
@@ -61,13 +63,29 @@ class Property:
 
 
 def for_all_cases(
-    prop: Property, source: DataFrame, subject: Subject, cases: DataFrame, by: Sequence[str] = CASE
+    prop: Property,
+    source: DataFrame,
+    subject: Subject,
+    cases: DataFrame,
+    by: Sequence[str] = CASE,
+    streaming: bool = False,
+    record: bool = True,
 ) -> DataFrame:
     """One row per case: ``by..., verdict, passed``. ``source`` holds the rows of all cases
     (``by..., ts, tms`` and payload), ``subject`` is the pipeline under test.
 
     The input is recorded first: it is read by the pipeline and by the assertions, and generated
-    rows would be computed for each of them."""
-    source = record_table(source, "case-input")
-    output = subject(source).withColumn("tms", F.unix_millis("ts"))
+    rows would be computed for each of them. Give ``record=False`` when the input is a stored table.
+    With ``streaming`` the pipeline runs as a stream over the recorded input and its output is
+    recorded too.
+    """
+    if streaming:
+        path = scratch_path(source.sparkSession, "case-input")
+        source = record_table(source, path)
+        output = record_stream(read_as_stream(source, path), subject, "case-output")
+    else:
+        if record:
+            source = record_table(source, scratch_path(source.sparkSession, "case-input"))
+        output = subject(source)
+    output = output.withColumn("tms", F.unix_millis("ts"))
     return case_verdict(prop.evaluate(source, output, by, first=1), cases, by)

@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import scratch_path
 
-
-def record_table(df: DataFrame, name: str) -> DataFrame:
-    """Write a batch table to the shared scratch folder and read it back (cuts lineage; the copy
-    survives a lost executor)."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+def record_table(df: DataFrame, path: str) -> DataFrame:
+    """Write a batch table and read it back (cuts lineage; the copy survives a lost executor)."""
     df.write.parquet(path)
-    return read_recorded(spark, path)
+    return read_recorded(df.sparkSession, path)
 
 
 def read_recorded(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import scratch_path
-from tidemark.sources.recordings import read_recorded
+from tidemark.sources.recordings import read_recorded, record_table
 
 END_OF_TIME = datetime(9000, 1, 1)
 
@@ -27,17 +27,21 @@ def ascending(stream: DataFrame, delay: str = "0 seconds", ts: str = "ts") -> Da
     return stream.withWatermark(ts, delay)
 
 
-def replay(df: DataFrame, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A finite timed table as a stream: written once as parquet, read back as a file stream."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    reader = spark.readStream.schema(df.schema)
+def read_as_stream(recorded: DataFrame, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A recorded table as a file stream. By default all files are one micro-batch, so that their
+    order does not matter; with fewer per trigger they must be in time order."""
+    reader = recorded.sparkSession.readStream.schema(recorded.schema)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", str(files_per_trigger))
     return reader.parquet(path)
 
 
+def replay(df: DataFrame, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A finite timed table as a stream: written once as parquet, read back as a file stream."""
+    path = scratch_path(df.sparkSession, name)
+    return read_as_stream(record_table(df, path), path, files_per_trigger)
+
+
 def _end_marker(spark: SparkSession, schema: T.StructType, ts: str) -> DataFrame:
     columns = [
         (F.lit(END_OF_TIME) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
@@ -100,7 +104,10 @@ def record_stream(
     root = scratch_path(source.sparkSession, name)
     out = f"{root}/out"
     run_to_end(source, subject, root, lambda stream, checkpoint: store_stream(stream, out, checkpoint), delay, flush, ts)
-    return read_recorded(source.sparkSession, out)
+    recorded = read_recorded(source.sparkSession, out)
+    if flush and ts in recorded.columns:  # a pipeline without state passes the marker on
+        recorded = recorded.where(F.col(ts) < F.lit(END_OF_TIME))
+    return recorded
 
 
 def record_with_timestamps(
