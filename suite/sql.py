@@ -155,12 +155,13 @@ def bound(letters: str, early: str, late: str, key: str, offsets: Sequence[int],
 
 
 def mix(x: str) -> str:
-    steps = ((48271, 12345, 2147483647), (40692, 104729, 2147483587), (69621, 7919, 2147483629))
-    for i, (a, b, m) in enumerate(steps):
-        if i > 0:
-            x = f"CAST(reverse(CAST({x} AS VARCHAR)) AS BIGINT)"
-        x = f"(({x}) * {a} + {b}) % {m}"
-    return f"({x})"
+    for i, (a, b, m) in enumerate(
+        ((48271, 12345, 2147483647), (40692, 104729, 2147483587), (69621, 7919, 2147483629))
+    ):
+        x = f"((({x}) * {a} + {b}) % {m})"
+        if i == 0:
+            x = f"[xor(a, a >> 15) FOR a IN [{x}]][1]"
+    return x
 
 
 def tenths(h: str, low: float, high: float) -> str:

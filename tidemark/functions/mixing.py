@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 # Multiplier, increment and modulus of each linear step; every product fits a BIGINT.
 STEPS = ((48271, 12345, 2147483647), (40692, 104729, 2147483587), (69621, 7919, 2147483629))
 MODULUS = STEPS[-1][2]
+FOLD = 15
 
 
 def mix(x: Column) -> Column:
     """Scramble a non-negative BIGINT below 2**47 into [0, MODULUS).
 
-    Linear steps alone keep neighbours in step, so the decimal digits are reversed in between. ``x``
-    occurs once in the expression, so chained hashes stay small when Spark merges them.
+    Linear steps alone keep neighbours in step, so the high bits are folded into the low ones after
+    the first of them.
     """
     for i, (multiplier, increment, modulus) in enumerate(STEPS):
-        if i > 0:
-            x = F.reverse(x.cast("string")).cast("bigint")
         x = (x * F.lit(multiplier) + F.lit(increment)) % F.lit(modulus)
+        if i == 0:
+            x = x.bitwiseXOR(F.shiftright(x, FOLD))
     return x
 
 

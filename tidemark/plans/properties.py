@@ -33,11 +33,16 @@ GEN_MS = 50
 # -- generated inputs ----------------------------------------------------------------------------
 
 
+def _events(rows: DataFrame, windows: Windows) -> DataFrame:
+    """Case, event time and payload only: what a stream would carry, and what is recorded."""
+    return g.place_tumbling(rows, windows).drop("idx", "row", "h", "released")
+
+
 def int_rows(cases: DataFrame, windows: int = 10) -> DataFrame:
     """10 to 50 whole numbers, negative and positive, in each 50 ms window."""
     rows = g.rows_n_to_m(g.always_windows(cases, windows), 10, 50)
     rows = rows.withColumn("value", mix(F.col("h") + F.lit(2)) * F.lit(2) - F.lit(MODULUS))
-    return g.place_tumbling(rows, Windows(GEN_MS))
+    return _events(rows, Windows(GEN_MS))
 
 
 def sensor_rows(cases: DataFrame, windows: int, n: int, m: int, sensors: int, low: float, high: float) -> DataFrame:
@@ -45,7 +50,7 @@ def sensor_rows(cases: DataFrame, windows: int, n: int, m: int, sensors: int, lo
     rows = g.rows_n_to_m(g.always_windows(cases, windows), n, m)
     rows = rows.withColumn("sensor_id", pick_int(mix(F.col("h") + F.lit(2)), 0, sensors - 1))
     rows = rows.withColumn("concentration", pick_tenths(mix(F.col("h") + F.lit(3)), low, high))
-    return field_from_event_time(g.place_tumbling(rows, Windows(SECOND)), "timestamp")
+    return field_from_event_time(_events(rows, Windows(SECOND)), "timestamp")
 
 
 def incident_rows(
@@ -55,7 +60,7 @@ def incident_rows(
     rows = g.rows_n_to_m(g.always_windows(cases, windows), n, m)
     rows = rows.withColumn("zone_id", pick_int(mix(F.col("h") + F.lit(2)), 0, 9))
     rows = rows.withColumn("danger", pick_tenths(mix(F.col("h") + F.lit(3)), low, high))
-    return g.place_tumbling(rows, Windows(window_ms))
+    return _events(rows, Windows(window_ms))
 
 
 def _arbitrary_fares(rows: DataFrame) -> DataFrame:
@@ -67,20 +72,20 @@ def one_driver_rows(cases: DataFrame) -> DataFrame:
     """One fare of driver 42 in one of the first three quarter hours; much later, other fares."""
     once = _arbitrary_fares(g.rows_n(g.eventually_window(cases, 3), 1)).withColumn("driver_id", F.lit(42).cast("bigint"))
     others = _arbitrary_fares(g.rows_n_to_m(g.always_windows(cases, 1, seed=7), 1, 10))
-    return g.place_tumbling(g.concat(once, g.later(others, 4), 3), Windows(15 * MINUTE))
+    return _events(g.concat(once, g.later(others, 4), 3), Windows(15 * MINUTE))
 
 
 def fixed_fare_rows(cases: DataFrame, factor: int = 6) -> DataFrame:
     """Ten drivers, each with a tip of ten times their id, in every part of an hour."""
     rows = g.rows_n(g.always_windows(cases, factor * 4 + 1), 10)
     rows = rows.withColumn("driver_id", F.col("row")).withColumn("tip", F.col("row") * F.lit(10.0))
-    return g.place_tumbling(rows, Windows(HOUR // factor))
+    return _events(rows, Windows(HOUR // factor))
 
 
 def any_fare_rows(cases: DataFrame, factor: int = 12) -> DataFrame:
     """1 to 50 fares in every part of an hour, for five hours."""
     rows = g.rows_n_to_m(g.always_windows(cases, 5 * factor), 1, 50)
-    return g.place_tumbling(_arbitrary_fares(rows), Windows(HOUR // factor))
+    return _events(_arbitrary_fares(rows), Windows(HOUR // factor))
 
 
 def alternating_rows(cases: DataFrame, timeout: int = 6) -> DataFrame:
@@ -90,7 +95,7 @@ def alternating_rows(cases: DataFrame, timeout: int = 6) -> DataFrame:
     many = g.rows_n(windows, 5).withColumn("driver_id", F.when(F.col("released"), F.lit(2)).otherwise(F.lit(1)))
     few = g.rows_n(windows, 2).withColumn("driver_id", F.when(F.col("released"), F.lit(1)).otherwise(F.lit(2)))
     rows = g.merge(many, few, 5).withColumn("driver_id", F.col("driver_id").cast("bigint")).withColumn("tip", F.lit(2.5))
-    return g.place_tumbling(rows, Windows(HOUR))
+    return _events(rows, Windows(HOUR))
 
 
 # -- properties ----------------------------------------------------------------------------------
