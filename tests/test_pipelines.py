@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import REFERENCE_DATA, rows
+from conftest import rows
 
 from pyspark.sql import functions as F
 
@@ -29,32 +29,32 @@ GOLDEN = [
 
 
 @pytest.mark.parametrize("name,pipeline,columns,expected", GOLDEN)
-def test_golden_batch(spark, name, pipeline, columns, expected):
-    df = read_sensors(spark, f"{REFERENCE_DATA}/{name}.data")
+def test_golden_batch(spark, sensor_files, name, pipeline, columns, expected):
+    df = read_sensors(spark, sensor_files[name])
     assert rows(pipeline(df), *columns) == expected
 
 
 @pytest.mark.parametrize("name,pipeline,columns,expected", GOLDEN)
-def test_golden_stream(spark, name, pipeline, columns, expected):
-    df = read_sensors(spark, f"{REFERENCE_DATA}/{name}.data*", streaming=True)
+def test_golden_stream(spark, sensor_files, name, pipeline, columns, expected):
+    df = read_sensors(spark, sensor_files[name], streaming=True)
     assert rows(record_stream(df, pipeline, name), *columns) == expected
 
 
-def test_window_result_carries_its_last_millisecond(spark):
-    df = pollution1(read_sensors(spark, f"{REFERENCE_DATA}/sensor1.data"))
+def test_window_result_carries_its_last_millisecond(spark, sensor_files):
+    df = pollution1(read_sensors(spark, sensor_files["sensor1"]))
     assert add_timestamp(df).where(F.col("tms") != F.col("w_end") - 1).count() == 0
 
 
-def test_extra_keys_keep_cases_apart(spark):
-    df = read_sensors(spark, f"{REFERENCE_DATA}/sensor3.data")
+def test_extra_keys_keep_cases_apart(spark, sensor_files):
+    df = read_sensors(spark, sensor_files["sensor3"])
     both = df.withColumn("case_id", F.lit(1)).unionByName(df.withColumn("case_id", F.lit(2)))
     got = pollution3(both, keys=["case_id"])
     for case in (1, 2):
         assert rows(got.where(F.col("case_id") == case), "w_end", "level", "sensors") == POLLUTION3
 
 
-def test_sensor_window_mean(spark):
-    df = read_sensors(spark, f"{REFERENCE_DATA}/sensor3.data").where("sensor_id = 1 AND timestamp < 4000")
+def test_sensor_window_mean(spark, sensor_files):
+    df = read_sensors(spark, sensor_files["sensor3"]).where("sensor_id = 1 AND timestamp < 4000")
     assert rows(sensor_window_mean(df), "w_end", "concentration", "last_tms") == [(3000, 425.0, 2400), (4000, 425.0, 3400)]
 
 
