@@ -6,9 +6,9 @@ import pytest
 from oracle import TESTDATA, connect, differences
 
 import __spark_entry__ as entry_point
+from suite import QUERIES, ORACLES
 
 SF = f"{TESTDATA}/sf0.001"
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +25,10 @@ def test_every_query_has_an_oracle():
     assert set(ORACLES) == set(QUERIES)
 
 
+def test_entry_point_has_them_all():
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
+
+
 def test_entry(spark):
     df = entry_point.entry(spark)
     assert df.columns == ["sensor_id", "idx", "verdict"] and df.count() > 0

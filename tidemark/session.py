@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,9 @@ RUNTIME_CONF = {
 }
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on (UTC) and those skewed data depends on (AQE)."""
     for key, value in RUNTIME_CONF.items():
@@ -42,15 +46,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of its own machine.
+    Only a session whose executors are threads of this process may use a temporary folder instead,
+    one for each application.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", root)
+    root = _LOCAL_ROOTS.get(context.applicationId)
+    if root is None:
+        root = _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
     return root
 
 
