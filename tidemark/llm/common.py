@@ -17,6 +17,8 @@ from tidemark.session import scratch_path
 # White space that separates words everywhere in this subpackage: \x20 and \x09-\x0D.
 WHITESPACE = " \t\n\x0b\x0c\r"
 MB = 1 << 20
+# Rows per Arrow batch: texts may be long, so a batch of Spark's default row count may not fit in memory.
+BATCH_ROWS = 1000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,6 +35,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def row_key() -> Column:
+    """Key of a document row: rows that agree in id and text are one."""
+    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of a frame (file sizes for a scan); no job is run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -58,6 +65,8 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application; their Python need not have it installed."""
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_tidemark_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(tidemark.__file__))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, materialised, words
+from tidemark.llm.common import let, materialised, row_key, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -59,11 +59,6 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sized.select("item_id", needed(F.col("n"), threshold).alias("need"), F.explode(F.slice("hs", F.lit(1), length.cast("int"))).alias("h"))
 
 
-def row_key() -> Column:
-    """Key of a document row: rows that agree in id and text are one."""
-    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
-
-
 def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``rk, item_id``: document rows that hold a sketch shingle of an item and are large enough for it."""
     sketch = sketches(items, threshold)

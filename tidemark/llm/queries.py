@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, quality, simhash
+from tidemark.llm import decontamination, mixing, quality, records, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query("op4_token_records")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.token_records(_table(spark, sf_dir, "documents"))
+
+
 @_query("op8_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "quality.*")
@@ -41,3 +46,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, materialised
+from tidemark.llm.common import map_arrow, materialised, row_key
 
 SHINGLE = 3
 SEED = 42
@@ -51,13 +51,16 @@ def _fingerprint(text: str | None) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = pa.array([_fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), prints], ["doc_id", "fp"])
+        prints = pa.array([_fingerprint(t.as_py()) for t in batch.column(2)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints], ["doc_id", "rk", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``: one row per document. NULL and blank texts have fingerprint 0."""
-    return map_arrow(docs.select("doc_id", "text"), _fingerprint_batches, "doc_id long, fp long")
+    """``doc_id, rk, fp``: one row per document. NULL and blank texts have fingerprint 0.
+
+    ``rk`` is the row's key: rows that agree in id and text share it.
+    """
+    return map_arrow(docs.select("doc_id", row_key().alias("rk"), "text"), _fingerprint_batches, "doc_id long, rk long, fp long")
 
 
 def cover_masks() -> list[int]:
@@ -116,22 +119,38 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first())
 
 
+def classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, rk, fp, root``: one row per document; ``root`` is the fingerprint that names its component.
+
+    Documents with equal fingerprints are one node from the start, so a group of copies of any size is
+    one row in the search.
+    """
+    prints = materialised(fingerprints(docs), "fingerprints")
+    nodes = prints.select("fp").distinct()
+    roots = components(close_pairs(nodes))
+    return prints.join(roots, prints.fp == roots.node, "left").select("doc_id", "rk", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id``: one row per document.
 
     Fingerprints link at two or fewer differing bits; ``component_id`` is the smallest ``doc_id`` that
-    links reach. Documents with equal fingerprints are one node from the start, so a group of copies of
-    any size is one row in the search. NULL texts count as empty; empty texts have fingerprint zero and
-    are linked like any other. A NULL ``doc_id`` never is a component's id unless it has no other.
-    Repeated rows stay repeated. Other columns are not read.
+    links reach. NULL texts count as empty; empty texts have fingerprint zero and are linked like any
+    other. A NULL ``doc_id`` is a component's id only if it has no other. Repeated rows stay repeated.
+    Other columns are not read.
     """
-    prints = materialised(fingerprints(docs), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(close_pairs(nodes.select("fp")))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return (
-        prints.join(classes, "fp")
-        .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    )
+    linked = classes(docs)
+    smallest = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return linked.join(smallest, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of ``docs``, all columns, for each near-duplicate group: that with the smallest ``doc_id``.
+
+    Rows without an id lose to rows with one; ties go to the smaller row key, and of repeated rows one
+    is kept. Which document stays depends on ids and texts only.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")
+    chosen = classes(docs).groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.rk").alias("__rk"))
+    kept = docs.withColumn("__rk", row_key()).join(materialised(chosen, "representatives"), "__rk", "left_semi")
+    return kept.dropDuplicates(["__rk"]).drop("__rk")
