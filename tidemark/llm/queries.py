@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, mixing, quality, records, simhash
+from tidemark.llm import decontamination, mixing, phrases, quality, records, simhash, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(_table(spark, sf_dir, "documents"))
 
 
+@_query("op6_repeated_phrases", phrases.REPEATS_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digest(_table(spark, sf_dir, "documents"))
+
+
+@_query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(_table(spark, sf_dir, "documents"))
+
+
 @_query("op8_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "quality.*")
