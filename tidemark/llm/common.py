@@ -46,9 +46,13 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, target_mb: float, at_least: int | None = None) -> int:
-    """How many partitions give each about ``target_mb`` of the input, and every core some work."""
+    """How many partitions give each about ``target_mb`` of the input, and every core some work.
+
+    A size that Spark does not know (it then assumes a huge one) asks for no more than the floor.
+    """
     floor = at_least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(floor, math.ceil(input_bytes(df) / (target_mb * MB)))
+    size = input_bytes(df)
+    return max(floor, math.ceil(size / (target_mb * MB)) if size < 1 << 60 else 0)
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:

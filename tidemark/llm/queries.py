@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, mixing, phrases, quality, records, simhash, suffixes
+from tidemark.llm import chats, decontamination, mixing, phrases, quality, records, simhash, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op1_warc", warc.DIGESTS_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_digests(_table(spark, sf_dir, "pages"))
+
+
 @_query("op2_decontamination", decontamination.LEAKS_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -38,6 +43,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(_table(spark, sf_dir, "documents"))
 
 
+@_query("op5_chat_templates")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.conversation_digests(chats.with_control_strings(_table(spark, sf_dir, "conversations")))
+
+
 @_query("op6_repeated_phrases", phrases.REPEATS_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.digest(_table(spark, sf_dir, "documents"))
