@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chats, decontamination, mixing, phrases, quality, records, simhash, suffixes, warc
+from tidemark.llm import chats, decontamination, mixing, phrases, pii, quality, records, simhash, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query("op3_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
 @_query("op4_token_records")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(_table(spark, sf_dir, "documents"))
