@@ -15,11 +15,13 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,51 +65,84 @@ def unframe(data: memoryview) -> memoryview:
 # A word with the space before it, or white space the way the tokenizer's own pattern cuts it. The
 # tokenizer never merges across these cuts, so a piece has the same ids in every text.
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+_FINE = regex.compile(public_tokenizers.PATTERN)
+_STOPS = frozenset(".,;:!?")
 # White space on which two regex engines may differ, and text that may be a special token: encoded whole.
-_ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|<\|")
-_MEMO_ROWS = 400_000
+_ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\|")
+_MEMO_ROWS = 600_000
 _MEMO_PIECE = 64
+_TEXTS = 512
 _STATE: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
 class Encoder:
-    """Encodes texts with a tokenizer of the tokenizers library, one call per distinct piece.
+    """Encodes texts with a byte-level tokenizer of the tokenizers library, each distinct piece once.
 
-    Ids of pieces are kept for the life of the worker process, up to a fixed number of pieces.
+    A text is cut the way the tokenizer's own pattern cuts it; each piece goes through the library's model.
+    Ids of pieces are kept for the life of the worker process in two generations of a fixed size: when the
+    younger is full it becomes the older, so pieces in use stay.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memo: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _known(self, piece: str) -> bytes | None:
+        found = self.young.get(piece)
+        if found is None:
+            found = self.old.get(piece)
+            if found is not None:
+                self._keep(piece, found)
+        return found
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) <= _MEMO_PIECE:
+            if len(self.young) >= _MEMO_ROWS:
+                self.young, self.old = {}, self.young
+            self.young[piece] = ids
+
+    def _modelled(self, piece: str) -> bytes:
+        letters = piece.replace(" ", "Ġ") if piece.isascii() and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(_LETTERS)
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece between white space: one or several pieces of the tokenizer's pattern."""
+        found = self._known(piece)
+        if found is not None:
+            return found
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isalpha():
+            ids = self._modelled(piece)
+        else:
+            fine = [piece[:-1], piece[-1]] if word[-1:] in _STOPS and word[:-1].isalpha() else _FINE.findall(piece)
+            ids = self._modelled(piece) if len(fine) == 1 else b"".join(map(self._piece, fine))
+        self._keep(piece, ids)
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > _MEMO_ROWS:
-            memo.clear()
         cut = [None if _ODD.search(t) else _PIECES.findall(t) for t in texts]
-        new = list({p for pieces in cut if pieces for p in pieces if p not in memo})
-        ids = dict(zip(new, self._encode(new), strict=True))
-        memo.update((p, b) for p, b in ids.items() if len(p) <= _MEMO_PIECE)
-        ids = _Both(memo, ids)
-        whole = iter(self._encode([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
+        ids = {p: self.young.get(p) or self._piece(p) for p in set().union(*(pieces for pieces in cut if pieces))}
+        whole = iter(self._whole([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
         return [next(whole) if pieces is None else b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
 
 
-class _Both(dict):
-    """Looks up the long-lived pieces first, then those of this call."""
-
-    def __init__(self, memo: dict, new: dict):
-        super().__init__(new)
-        self.memo = memo
-
-    def __missing__(self, key):
-        return self.memo[key]
-
-
 def encoder(path: str) -> Encoder:
     if path not in _STATE:
         _STATE[path] = Encoder(path)
@@ -122,8 +157,8 @@ def _writer(folder: str, tokenizer: str):
         name, number = attempt_name(".rec"), TaskContext.get().partitionId()
         out, offset, start = None, 0, 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
+            for lo in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(lo, _TEXTS)
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     if out is None:
