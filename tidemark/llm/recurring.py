@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import input_bytes, partitions_for, ship
+from tidemark.llm.common import MB, partitions_for, ship
 
 # Parquet megabytes of documents in a block: about twice that in text, a few hundred MB while worked on.
 BLOCK_MB = 6
@@ -45,7 +45,7 @@ def blocked(docs: DataFrame) -> DataFrame:
 
 def shard_count(docs: DataFrame, anchors_per_byte: float) -> int:
     """Shards for the anchors of a table; text is taken as four times its size in Parquet at most."""
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(4 * input_bytes(docs) * anchors_per_byte / SHARD_ANCHORS))
+    return partitions_for(docs, SHARD_ANCHORS / (4 * anchors_per_byte) / MB)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -55,24 +55,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+# Odd multipliers, one for each step of the doubling.
+_FACTORS = mixed(np.arange(101, 229, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def gram_hashes(unit: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` units, from a 64-bit value per unit, by doubling."""
-    with np.errstate(over="ignore"):
-        out, length, power = None, 0, unit
-        width, shift = 1, 0
-        while True:
-            if size & width:
-                if out is None:
-                    out = power[shift:]
-                else:
-                    n = len(power) - shift
-                    out = out[:n] * np.uint64(0x9E3779B97F4A7C15 + 2 * width) + power[shift:] if n > 0 else np.zeros(0, np.uint64)
-                shift += width
-                length += width
-            if length == size:
-                return mixed(out)
-            power = power[: len(power) - width] * np.uint64(0xD6E8FEB86659FD93 + 2 * width) + power[width:]
-            width *= 2
+    out, length, power, width, step = None, 0, unit, 1, 0
+    while True:
+        if size & width:  # append a run of `width` to what there is
+            if out is None:
+                out = power
+            else:
+                n = len(power) - length
+                out = out[:n] * _FACTORS[2 * step] + power[length:]
+            length += width
+        if length == size:
+            return mixed(out)
+        power = power[:-width] * _FACTORS[2 * step + 1] + power[width:]
+        width, step = 2 * width, step + 1
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
