@@ -278,16 +278,21 @@ def fold(nodes: list[tuple]) -> list[tuple]:
             if not cases:
                 continue
             if cases[0][0][0] == "const":
-                out += cases[0][1]
+                for inner in cases[0][1]:
+                    _append(out, inner)
                 continue
             node = ("if", cases)
-        if node[0] == "text" and out and out[-1][0] == "text":
-            out[-1] = ("text", out[-1][1] + node[1])
-        elif node != ("text", ""):
-            out.append(node)
+        _append(out, node)
     return out
 
 
+def _append(nodes: list[tuple], node: tuple) -> None:
+    if node[0] == "text" and nodes and nodes[-1][0] == "text":
+        nodes[-1] = ("text", nodes[-1][1] + node[1])
+    elif node != ("text", ""):
+        nodes.append(node)
+
+
 # --- closures --------------------------------------------------------------------------------------------
 
 Value = Callable[[dict], Any]
