@@ -39,7 +39,7 @@ from tidemark.plans.tips import hourly_max
 from tidemark.sources.tables import fares, incidents, sensors
 
 
-def sensor_word(spark, sf_dir, *names: str, first: int | None = None) -> DataFrame:
+def sensor_word(spark, sf_dir, *names: str) -> DataFrame:
     """Six-hour letters of every sensor with the assertions a formula uses."""
     atoms = {
         "no_alert": foreach_element("no_alert", F.col("level") != "Alert"),
@@ -47,7 +47,7 @@ def sensor_word(spark, sf_dir, *names: str, first: int | None = None) -> DataFra
         "some_alert": exists_element("some_alert", F.col("level") == "Alert"),
     }
     output = (hourly_levels(spark, sf_dir), [atoms[name] for name in names])
-    return letters(SIX_HOURS, BY, first=first, input=(sensors(spark, sf_dir), []), output=output)
+    return letters(SIX_HOURS, BY, input=(sensors(spark, sf_dir), []), output=output)
 
 
 SENSOR_WORD = (
@@ -266,7 +266,7 @@ CASE_SQL = f"""
 def case_verdict_query(spark, sf_dir):
     """One verdict per sensor: the formula's value at its first letter."""
     formula = always(now("no_alert"), 4)
-    word = sensor_word(spark, sf_dir, "no_alert", first=1 + formula.lookahead())
+    word = sensor_word(spark, sf_dir, "no_alert")
     evaluated = evaluate(word, formula, BY)
     return case_verdict(evaluated, sensors(spark, sf_dir), BY)
 
@@ -279,7 +279,6 @@ def property_cases(spark, sf_dir):
         SIX_HOURS,
         always(now("no_alert"), 4),
         output_atoms=[foreach_element("no_alert", F.col("level") != "Alert")],
-        max_letters=None,
     )
     subject = partial(pollution1, size="1 hour", keys=["case_id"])
     return for_all_cases(prop, source, subject, source, record=False)

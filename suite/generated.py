@@ -131,7 +131,7 @@ def property_sql(
     return f"""
     WITH {CASES}, src AS (SELECT * EXCLUDE (idx) FROM ({source})), out AS ({output}),
     i AS ({sql.side('src', input_atoms, CASE, idx)}), o AS ({sql.side('out', output_atoms, CASE, idx)}),
-    word AS ({sql.word(['i', 'o'], values, CASE, step, 0, cap=100)}){more},
+    word AS ({sql.word(['i', 'o'], values, CASE, step, 0)}){more},
     f AS (SELECT case_id, idx, {formula} AS v FROM {letters})
     SELECT case_id, {sql.verdict('coalesce(v, 0)')} AS verdict, coalesce(v, 0) >= 0 AS passed
     FROM cases LEFT JOIN (SELECT * FROM f WHERE idx = 0) USING (case_id)

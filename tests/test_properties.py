@@ -62,6 +62,26 @@ def test_letter_cap_leaves_the_rest_unread(spark):
     assert {r["verdict"] for r in got.collect()} == {"Undecided"}
 
 
+def test_no_cap_by_default(spark):
+    """A violation after letter 100 counts; a cap that is asked for hides it."""
+    rows_ = spark.createDataFrame([(1, 10 * i, -1 if i == 120 else 1) for i in range(200)], "case_id BIGINT, tms BIGINT, value INT")
+    source = rows_.withColumn("ts", F.timestamp_millis("tms"))
+    some = spark.createDataFrame([(1,)], "case_id BIGINT")
+    assert rows(for_all_cases(non_negative(Windows(10), 150), source, lambda df: df, some)) == [(1, "False", False)]
+    assert rows(for_all_cases(non_negative(Windows(10), 150, max_letters=100), source, lambda df: df, some)) == [(1, "Undecided", True)]
+
+
+def test_windows_that_start_long_before_the_data_are_refused(spark):
+    """Every row violates the assertion, but all letters the verdict looks at lie in 1970."""
+    start = 1704067200000
+    rows_ = spark.createDataFrame([(1, start + 100 * i, -1) for i in range(20)], "case_id BIGINT, tms BIGINT, value INT")
+    source = rows_.withColumn("ts", F.timestamp_millis("tms"))
+    some = spark.createDataFrame([(1,)], "case_id BIGINT")
+    with pytest.raises(ValueError, match="start_ms"):
+        for_all_cases(non_negative(Windows(3_600_000)), source, lambda df: df, some)
+    assert rows(for_all_cases(non_negative(Windows(100, start_ms=start)), source, lambda df: df, some)) == [(1, "False", False)]
+
+
 def test_case_without_output_is_undecided(spark):
     some = cases(spark)
     got = for_all_cases(non_negative(), int_rows(some), lambda df: df.where("case_id <> 4 AND value >= 0"), some)

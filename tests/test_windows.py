@@ -144,11 +144,6 @@ def test_word_longer_than_a_spine_chunk(spark):
     assert tuple(got) == (9001, 0, 9000, 9001, 2)
 
 
-def test_first_letters_only(spark):
-    word = letters(Windows(10), first=3, rows=(timed(spark, [0, 999]), []))
-    assert rows(word, "idx", "last_idx") == [(0, 99), (1, 99), (2, 99)]
-
-
 def test_windows_of_ones_own(spark):
     """Months: neither equally long nor a slide apart."""
 

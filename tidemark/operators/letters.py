@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.atoms import Atom, count_rows
@@ -43,46 +43,41 @@ def sparse_letters(
 def _last_letter(sparse: DataFrame, by: Sequence[str]) -> DataFrame:
     """``by, last_idx``: index of the last window with rows.
 
-    The maximum is taken over whole rows (index first), so that this branch needs the same columns
-    as the branch it is joined with and both read one shuffle; with ``max(idx)`` alone column
+    The values are counted too (a condition that always holds), so that this branch needs the same
+    columns as the branch it is joined with and both read one shuffle; with the index alone column
     pruning would make it a second pass over the data.
     """
     rest = [c for c in sparse.columns if c not in by and c != "idx"]
-    return sparse.groupBy(*by).agg(F.max(F.struct("idx", *rest)).alias("_last")).select(
-        *by, F.col("_last.idx").alias("last_idx")
-    )
-
-
-def spine(ends: DataFrame, by: Sequence[str] = (), first: Column | None = None) -> DataFrame:
-    """All indexes first..last_idx of every case (from 0 by default), generated in chunks so that one
-    long word is produced by many tasks."""
-    first = F.lit(0).cast("bigint") if first is None else first
-    ranged = ends.withColumn("_first", first).where(F.col("last_idx") >= F.col("_first"))
-    chunk = F.sequence(F.expr(f"_first div {SPINE_CHUNK}"), F.expr(f"last_idx div {SPINE_CHUNK}"))
+    # The first value is the row count; counting it would not need it, as it is never NULL.
+    seen = [(F.count(c) if i else F.max(c)).alias(f"_seen_{i}") for i, c in enumerate(rest)]
+    ends = sparse.groupBy(*by).agg(F.max("idx").alias("last_idx"), *seen)
+    for i in range(len(rest)):
+        ends = ends.where(F.col(f"_seen_{i}") >= 0)
+    return ends.select(*by, "last_idx")
+
+
+def spine(ends: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All indexes 0..last_idx of every case, generated in chunks so that one long word is produced
+    by many tasks."""
+    chunk = F.sequence(F.lit(0).cast("bigint"), F.expr(f"last_idx div {SPINE_CHUNK}"))
     low = F.col("_chunk") * F.lit(SPINE_CHUNK)
-    indexes = F.sequence(
-        F.greatest(low, F.col("_first")), F.least(F.col("last_idx"), low + F.lit(SPINE_CHUNK - 1))
-    )
-    return (
-        spread(ranged.withColumn("_chunk", F.explode(chunk)), *by, "_chunk")
-        .withColumn("idx", F.explode(indexes))
-        .drop("_chunk", "_first")
-    )
+    indexes = F.sequence(low, F.least(F.col("last_idx"), low + F.lit(SPINE_CHUNK - 1)))
+    chunks = ends.where(F.col("last_idx") >= 0).withColumn("_chunk", F.explode(chunk))
+    return spread(chunks, *by, "_chunk").withColumn("idx", F.explode(indexes)).drop("_chunk")
 
 
 def letters(
     windows: Discretizer,
     by: Sequence[str] = (),
     cap: int | None = None,
-    first: int | None = None,
     tms: str = "tms",
     **sides: tuple[DataFrame, Sequence[Atom]],
 ) -> DataFrame:
     """Letters of one stream, or of several aligned ones: ``letters(w, src=(df, [atom, ...]))``.
 
     Empty windows in the middle are rows with the assertions' empty values. With several sides the
-    word ends with the shorter one. ``cap`` is the largest number of letters per case. ``first`` gives
-    only the first letters of each word, which still ends where it ends (``last_idx``).
+    word ends with the shorter one. ``cap``, if asked for, is the largest number of letters per case: the word
+    then ends there.
     """
     by = list(by)
     parts: dict[str, tuple[DataFrame, list[Atom]]] = {}
@@ -107,17 +102,13 @@ def letters(
     if cap is not None:
         ends = ends.withColumn("last_idx", F.least("last_idx", F.lit(cap - 1).cast("bigint")))
 
-    if first is None:
-        result = spine(ends, by)
-    else:
-        until = ends.withColumn("_end", F.col("last_idx"))
-        until = until.withColumn("last_idx", F.least("last_idx", F.lit(first - 1).cast("bigint")))
-        result = spine(until, by).withColumn("last_idx", F.col("_end")).drop("_end")
+    result = spine(ends, by)
     filled = [*by, "idx", windows.start_of(F.col("idx")).alias("w_start"), "last_idx"]
     for side, (sparse, atoms) in parts.items():
         result = result.join(sparse, [*by, "idx"], "left")
+        # A window whose only rows lie in the gap after it is here with no rows: it is empty too.
         # Every value refers to the row count, so that it is read together with any of them and
         # this branch keeps the columns of _last_letter's.
-        present = F.col(f"n_{side}").isNotNull()
+        present = F.coalesce(F.col(f"n_{side}") > 0, F.lit(False))
         filled += [atom.or_empty(present) for atom in atoms]
     return result.select(*filled)

@@ -38,6 +38,10 @@ class Discretizer:
         """Array of the windows that contain a pane (needed when they overlap)."""
         return F.array(pane)
 
+    def first_window(self, pane: Column) -> Column:
+        """The first of the windows that contain a pane."""
+        return F.get(self.pane_windows(pane), F.lit(0))
+
     def assign(self, df: DataFrame, tms: str = "tms") -> DataFrame:
         """Rows tagged with ``idx`` and ``w_start``; with overlap a row appears once per window."""
         tagged = self.panes(df, tms)

@@ -21,7 +21,6 @@ from tidemark.session import scratch_path
 from tidemark.sources.recordings import record_table
 from tidemark.streaming.recorder import read_as_stream, record_stream
 
-MAX_LETTERS = 100
 CASE = ("case_id",)
 
 Subject = Callable[[DataFrame], DataFrame]
@@ -34,7 +33,8 @@ class Property:
     """A formula, the windows it is read on and the assertions it is made of.
 
     ``input_atoms`` and ``output_atoms`` are aggregated per letter of the input and of the output
-    stream; ``relate`` adds columns that need rows of both.
+    stream; ``relate`` adds columns that need rows of both. ``max_letters`` ends every word after so
+    many letters, if asked for: what comes later then has no say.
     """
 
     windows: Discretizer
@@ -42,18 +42,14 @@ class Property:
     input_atoms: Sequence[Atom] = field(default_factory=tuple)
     output_atoms: Sequence[Atom] = field(default_factory=tuple)
     relate: Relate | None = None
-    max_letters: int | None = MAX_LETTERS
+    max_letters: int | None = None
 
-    def evaluate(
-        self, source: DataFrame, output: DataFrame, by: Sequence[str] = CASE, first: int | None = None
-    ) -> DataFrame:
-        """The formula's value at every letter of every case (at the first ones only, if ``first`` is
-        given). Both tables carry ``by..., tms``."""
+    def evaluate(self, source: DataFrame, output: DataFrame, by: Sequence[str] = CASE) -> DataFrame:
+        """The formula's value at every letter of every case. Both tables carry ``by..., tms``."""
         word = letters(
             self.windows,
             by,
             self.max_letters,
-            None if first is None else first + self.formula.lookahead(),
             input=(source, self.input_atoms),
             output=(output, self.output_atoms),
         )
@@ -88,4 +84,20 @@ def for_all_cases(
             source = record_table(source, scratch_path(source.sparkSession, "case-input"))
         output = subject(source)
     output = output.withColumn("tms", F.unix_millis("ts"))
-    return case_verdict(prop.evaluate(source, output, by, first=1), cases, by)
+    _refuse_empty_start(prop, source)
+    return case_verdict(prop.evaluate(source, output, by), cases, by)
+
+
+def _refuse_empty_start(prop: Property, source: DataFrame) -> None:
+    """Fail when no case has a row in the letters that the verdict looks at.
+
+    A verdict is the formula's value at letter 0. If the windows start long before the first row of
+    all, every letter it looks at is empty and the answer says nothing about the data.
+    """
+    looked_at = prop.formula.lookahead() + 1
+    first = prop.windows.panes(source.select("tms")).agg(F.min(prop.windows.first_window(F.col("_pane")))).first()[0]
+    if first is not None and first >= looked_at:
+        raise ValueError(
+            f"the first row of all cases is in letter {first}, the formula looks at {looked_at} letters from letter 0; "
+            "set start_ms of the windows to where the data begins"
+        )
