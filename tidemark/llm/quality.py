@@ -46,7 +46,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, bins: int = BINS) -> list[flo
 
     Counts cover every document. Without trusted text (or text at all) all ratios are zero.
     """
-    marked = docs.select("doc_id", "text").join(trusted_labels(labels).withColumn("trusted", F.lit(1)), "doc_id", "left")
+    # A merge join at every size: labels grow with the corpus, so broadcasting them is no plan to rely on.
+    trusted = trusted_labels(labels).withColumn("trusted", F.lit(1)).hint("merge")
+    marked = docs.select("doc_id", "text").join(trusted, "doc_id", "left")
     grams = marked.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(let(words(F.col("text")), lambda ws: ngram_bins(ws, bins))).alias("bin"))
     counts = grams.groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("trusted")).collect()  # at most `bins` rows
     raw, trusted = [0] * bins, [0] * bins
