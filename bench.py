@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from suite import QUERIES  # noqa: E402
-from tidemark.session import local_session  # noqa: E402
+from tidemark.session import clean_scratch, local_session  # noqa: E402
 
 HEADLINE = [
     "pollution1",
@@ -63,6 +63,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }
     print(json.dumps(result))
+    clean_scratch(spark)
     spark.stop()
 
 

@@ -15,7 +15,7 @@ from suite.generated import QUARTER, cases
 from suite.registry import ORACLES, query
 from tidemark.operators import generators as g
 from tidemark.operators.atoms import exists_element, foreach_element
-from tidemark.operators.letters import letters
+from tidemark.operators.letters import letters, word_ends
 from tidemark.operators.temporal import always, case_verdict, evaluate, now, until, with_verdict
 from tidemark.operators.windows import Windows
 from tidemark.plans import harass, pollution, tips
@@ -24,7 +24,6 @@ from tidemark.plans.property import for_all_cases
 from tidemark.sources.tables import fares, incidents, sensors
 from tidemark.streaming.monitor import complete_verdicts, monitor_always, monitor_eventually
 from tidemark.streaming.recorder import record_stream, record_with_timestamps, replay
-from tidemark.streaming.stepwise import StepwiseMonitor
 
 
 @query(
@@ -115,13 +114,17 @@ def stream_record_evaluate(spark, sf_dir):
     return case_verdict(evaluate(word, always(now("no_alert"), 4), BY), recorded, BY)
 
 
+# A monitor takes strict windows; the events have no rows before the first letter.
+STRICT = Windows(SIX_HOURS.size_ms, start_ms=SIX_HOURS.start_ms, strict=True)
+
+
 def _monitored(spark, sf_dir, monitor, level_predicate, horizon: int, empty: bool) -> DataFrame:
     def verdicts(stream: DataFrame) -> DataFrame:
-        return monitor(pollution.pollution1(stream, "1 hour"), level_predicate, SIX_HOURS, horizon, BY)
+        return monitor(pollution.pollution1(stream, "1 hour"), level_predicate, STRICT, horizon, BY)
 
     frames = record_stream(sensors(spark, sf_dir, streaming=True), verdicts, "monitor")
-    ends = letters(SIX_HOURS, BY, rows=(sensors(spark, sf_dir), [])).groupBy(*BY).agg(F.max("last_idx").alias("last_idx"))
-    return with_verdict(complete_verdicts(frames.where(F.col("idx") >= 0), ends, horizon, empty, BY))
+    ends = word_ends(sensors(spark, sf_dir), STRICT, BY)
+    return with_verdict(complete_verdicts(frames, ends, horizon, empty, BY))
 
 
 @query(
@@ -147,19 +150,36 @@ _OUTPUT_WORD = (
 )
 
 
-@query(
-    "stream_stepwise_until",
-    f"WITH {_OUTPUT_WORD} SELECT sensor_id, idx, {sql.verdict(sql.until('all_ok', 'some_alert', 4, BY))} AS verdict FROM word",
-)
-def stream_stepwise_until(spark, sf_dir):
-    """A formula with until, consumed letter by letter as the stream closes them."""
+UNTIL_SQL = f"WITH {_OUTPUT_WORD} SELECT sensor_id, idx, {sql.verdict(sql.until('all_ok', 'some_alert', 4, BY))} AS verdict FROM word"
+
+
+@query("stream_record_until", UNTIL_SQL)
+def stream_record_until(spark, sf_dir):
+    """A formula with until: the output is recorded as a stream and evaluated in batch."""
+    source = sensors(spark, sf_dir, streaming=True)
+    output = record_with_timestamps(source, lambda s: pollution.pollution1(s, "1 hour"), "until")
     atoms = [
         foreach_element("all_ok", F.col("level") == "OK"),
         exists_element("some_alert", F.col("level") == "Alert"),
     ]
-    monitor = StepwiseMonitor(spark, until(now("all_ok"), now("some_alert"), 4), SIX_HOURS, atoms, BY)
-    monitor.run(sensors(spark, sf_dir, streaming=True), lambda s: pollution.pollution1(s, "1 hour"))
-    return with_verdict(monitor.verdicts()).select("sensor_id", "idx", "verdict")
+    word = letters(SIX_HOURS, BY, output=(output, atoms))
+    return with_verdict(evaluate(word, until(now("all_ok"), now("some_alert"), 4), BY)).select("sensor_id", "idx", "verdict")
+
+
+@query(
+    "stream_filtered_windows",
+    f"""
+    WITH {sql.SENSORS}, high AS (SELECT * FROM sensors WHERE concentration > 300 AND sensor_id % 3 = 1)
+    SELECT w_end, sensor_id, level FROM ({sql.pollution1('high')})
+    """,
+)
+def stream_filtered_windows(spark, sf_dir):
+    """A pipeline that filters before its windows, flushed to its last window."""
+
+    def high(stream: DataFrame) -> DataFrame:
+        return pollution.pollution1(stream.where((F.col("concentration") > 300) & (F.col("sensor_id") % 3 == 1)), "1 hour")
+
+    return record_stream(sensors(spark, sf_dir, streaming=True), high, "filtered").drop("ts")
 
 
 @query("stream_property_cases", ORACLES["prop_danger_never_safe_fails"])

@@ -8,7 +8,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
-from tidemark.session import local_session, scratch_path  # noqa: E402
+from tidemark.session import clean_scratch, local_session, scratch_path  # noqa: E402
 
 # Sensor readings "timestamp,sensor_id,concentration" with known results (FIXTURES.md).
 SENSOR_LINES = {
@@ -28,6 +28,7 @@ SENSOR_LINES = {
 def spark():
     session = local_session(8, shuffle_partitions=4)
     yield session
+    clean_scratch(session)
     session.stop()
 
 

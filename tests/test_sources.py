@@ -82,3 +82,23 @@ def test_fares_are_one_row_per_ride_id(spark):
 def test_record_table(spark):
     df = spark.range(5).withColumn("v", F.col("id") * 2)
     assert rows(record_table(df, scratch_path(spark, "t"))) == rows(df)
+
+
+@pytest.mark.parametrize("bad", ["x,7,2.5", "5,y,2.5", "5,7,", "5,7"])
+def test_a_bad_sensor_line_fails_whatever_is_read(spark, bad):
+    path = scratch_path(spark, "bad-sensor")
+    spark.createDataFrame([("1,2,3.5",), (bad,)], "value STRING").write.text(path)
+    df = read_sensors(spark, path)
+    for use in (df.count, *(df.select(c).collect for c in df.columns)):
+        with pytest.raises(Exception, match="bad sensor in line"):
+            use()
+
+
+@pytest.mark.parametrize("bad", ["x,2,3,2013-01-01 00:00:00,CSH,1,1,1", "1,2,3,nope,CSH,1,1,1", "1,2,3,2013-01-01 00:00:00,CSH,z,1,1", "1,2"])
+def test_a_bad_fare_line_fails_whatever_is_read(spark, bad):
+    path = scratch_path(spark, "bad-fare")
+    spark.createDataFrame([("1,2,3,2013-01-01 00:00:00,CSH,1.5,0,10",), (bad,)], "value STRING").write.text(path)
+    df = read_fares(spark, path)
+    for use in (df.count, *(df.select(c).collect for c in df.columns)):
+        with pytest.raises(Exception, match="bad fare line"):
+            use()

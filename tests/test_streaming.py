@@ -7,19 +7,15 @@ from conftest import rows
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.atoms import exists_element, foreach_element
-from tidemark.operators.letters import letters
-from tidemark.operators.temporal import always, bind_next, evaluate, eventually, now, until
+from oracle import TESTDATA
+from suite import QUERIES
+from tidemark.operators.atoms import foreach_element
+from tidemark.operators.letters import letters, word_ends
+from tidemark.operators.temporal import always, evaluate, now
 from tidemark.operators.windows import Windows
 from tidemark.session import scratch_path
-from tidemark.streaming.recorder import record_stream, record_with_timestamps
-from tidemark.streaming.stepwise import StepwiseMonitor
-
-W = Windows(100)
-
-
-def atoms():
-    return [foreach_element("a", F.col("v") > 2), exists_element("b", F.col("v") > 8)]
+from tidemark.streaming.monitor import complete_verdicts, monitor_always
+from tidemark.streaming.recorder import _assert_flushed, record_stream, record_with_timestamps
 
 
 def events(spark, seed=0, n=80):
@@ -58,59 +54,49 @@ def test_recorded_rows_carry_their_event_time(spark):
     assert rows(got, "tms", "k", "v") == rows(df, "tms", "k", "v")
 
 
-FORMULAS = {
-    "always": lambda: always(now("a"), 3),
-    "eventually": lambda: eventually(now("b"), 4),
-    "until": lambda: until(now("a"), now("b"), 5),
-    "nested": lambda: always(eventually(now("b"), 3), 2),
-    "step": lambda: always(bind_next(lambda this, nxt: nxt("w_start") - this("w_start") == 100), 2),
-}
-
-
-@pytest.mark.parametrize("name", list(FORMULAS))
-def test_consuming_letters_step_by_step_equals_batch(spark, name):
-    _, df = events(spark, seed=len(name))
-    formula = FORMULAS[name]()
-    expected = rows(evaluate(letters(W, ["k"], rows=(df, atoms())), formula, ["k"]), "k", "idx", "value")
-    monitor = StepwiseMonitor(spark, formula, W, atoms(), ["k"])
-    sparse = letters(W, ["k"], rows=(df, atoms())).where("n_rows > 0").select("k", "idx", "a", "b").cache()
-    for low in range(0, 30, 6):
-        monitor.consume(sparse.where((F.col("idx") >= low) & (F.col("idx") < low + 6)))
-    assert rows(monitor.verdicts(), "k", "idx", "value") == expected
-    assert monitor.decided().groupBy("k", "idx").count().where("count > 1").count() == 0
-    assert monitor.decided().select("step").distinct().count() > 1
-
-
-def test_repeating_a_step_changes_nothing(spark):
-    _, df = events(spark, seed=3)
-    sparse = letters(W, ["k"], rows=(df, atoms())).where("n_rows > 0").select("k", "idx", "a", "b").cache()
-    monitor = StepwiseMonitor(spark, FORMULAS["until"](), W, atoms(), ["k"])
-    first, second = sparse.where("idx < 12"), sparse.where("idx >= 12")
-    monitor.consume(first, 0)
-    monitor.consume(second, 1)
-    once = rows(monitor.verdicts())
-    monitor.consume(second, 1)
-    assert rows(monitor.verdicts()) == once
-
-
-def test_open_letters_stay_few(spark):
-    schema = "k INT, idx BIGINT, a BOOLEAN, b BOOLEAN"
-    monitor = StepwiseMonitor(spark, always(now("a"), 3), W, atoms(), ["k"])
-    for step in range(4):
-        monitor.consume(spark.createDataFrame([(1, step * 50 + i, True, False) for i in range(50)], schema))
-        assert monitor._open_letters(step).count() <= 3
-
-
-def test_stepwise_on_a_stream(spark):
-    _, df = events(spark, seed=9)
-    formula = FORMULAS["until"]()
-    expected = rows(evaluate(letters(W, ["k"], rows=(df, atoms())), formula, ["k"]), "k", "idx", "value")
-    monitor = StepwiseMonitor(spark, formula, W, atoms(), ["k"])
-    monitor.run(file_stream(spark, df, 5), lambda stream: stream)
-    assert rows(monitor.verdicts(), "k", "idx", "value") == expected
-    assert monitor.decided().select("step").distinct().count() > 2
-
-
-def test_needs_a_case_column(spark):
-    with pytest.raises(ValueError):
-        StepwiseMonitor(spark, FORMULAS["always"](), W, atoms(), [])
+def by_window(stream, *more):
+    window = F.window("ts", "100 milliseconds").alias("w")
+    return stream.groupBy("k", window, *more).count().select("k", F.unix_millis("w.end").alias("w_end"), "count")
+
+
+def test_a_filter_before_the_windows_does_not_lose_the_last_ones(spark):
+    _, df = events(spark)
+    for keep in (F.col("v") > 2, (F.col("k") == 1) & (F.col("v") < 9), F.col("v").isin(1, 2, 3)):
+        got = record_stream(file_stream(spark, df, 5), lambda s, keep=keep: by_window(s.where(keep)), "filtered")
+        assert rows(got) == rows(by_window(df.where(keep)))
+
+
+def test_an_incomplete_flush_fails():
+    class Query:
+        def __init__(self, watermark, operators=({},)):
+            self.lastProgress = {"stateOperators": list(operators), "eventTime": {"watermark": watermark}}
+
+    with pytest.raises(RuntimeError, match="not flushed"):
+        _assert_flushed(Query("2024-01-30T00:00:00.000Z"))
+    _assert_flushed(Query("9000-01-01T00:00:00.000Z"))
+    _assert_flushed(Query("2024-01-30T00:00:00.000Z", operators=()))  # nothing to flush
+
+
+def test_a_table_of_many_files_is_a_stream_too(spark):
+    root = scratch_path(spark, "folder-table")
+    table = spark.read.parquet(f"{TESTDATA}/sf0.001/events.parquet")
+    table.repartition(5).write.parquet(f"{root}/events.parquet")
+    for name in ("stream_pollution1", "record_roundtrip", "stream_hourly_max", "stream_monitor_always"):
+        assert rows(QUERIES[name](spark, root)) == rows(QUERIES[name](spark, f"{TESTDATA}/sf0.001"))
+
+
+def test_rows_before_the_start(spark):
+    """A monitor takes strict windows only, and equals the batch verdicts on them."""
+    _, df = events(spark, seed=4)
+    early = Windows(100, start_ms=250, strict=True)
+
+    def watched(stream):
+        return monitor_always(stream, F.col("v") > 1, early, 3, ["k"])
+
+    frames = record_stream(file_stream(spark, df, 5), watched, "early")
+    word = letters(early, ["k"], rows=(df, [foreach_element("a", F.col("v") > 1)]))
+    expected = rows(evaluate(word, always(now("a"), 3), ["k"]), "k", "idx", "value")
+    assert rows(complete_verdicts(frames, word_ends(df, early, ["k"]), 3, True, ["k"]), "k", "idx", "value") == expected
+    assert frames.where("idx < 0").count() == 0
+    with pytest.raises(ValueError, match="strict"):
+        monitor_always(df, F.col("v") > 1, Windows(100, start_ms=250), 3, ["k"])

@@ -56,6 +56,11 @@ def _last_letter(sparse: DataFrame, by: Sequence[str]) -> DataFrame:
     return ends.select(*by, "last_idx")
 
 
+def word_ends(df: DataFrame, windows: Discretizer, by: Sequence[str] = (), tms: str = "tms") -> DataFrame:
+    """``by, last_idx`` of the word of one table: one aggregation, no letters are made."""
+    return _last_letter(sparse_letters(df, windows, [count_rows("n_rows")], by, tms), by)
+
+
 def spine(ends: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All indexes 0..last_idx of every case, generated in chunks so that one long word is produced
     by many tasks."""

@@ -63,7 +63,20 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared scratch folder."""
-    return f"{scratch_root(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_scratch_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _scratch_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared scratch folder.
+
+    Results are read lazily from there, so call it when they have been used, before the session stops.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

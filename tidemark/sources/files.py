@@ -16,9 +16,12 @@ def _lines(spark: SparkSession, path: str, streaming: bool) -> DataFrame:
     return reader.text(path)
 
 
-def _required(value: Column, what: str) -> Column:
-    """Fail the job with the offending line when a value could not be parsed."""
-    return F.coalesce(value, F.raise_error(F.concat(F.lit(f"bad {what} in line: "), F.col("value"))))
+def _only(df: DataFrame, good: Column, what: str) -> DataFrame:
+    """Fail the job with the offending line unless every line is good.
+
+    It is a filter, so it stays whatever columns are read later, also when rows are only counted.
+    """
+    return df.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"bad {what}: "), F.col("value"))).cast("boolean")))
 
 
 def read_sensors(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -28,11 +31,13 @@ def read_sensors(spark: SparkSession, path: str, streaming: bool = False) -> Dat
     """
     part = F.split("value", ",", -1)
     typed = _lines(spark, path, streaming).select(
-        _required(F.get(part, F.lit(0)).try_cast("bigint"), "timestamp").alias("timestamp"),
-        _required(F.get(part, F.lit(1)).try_cast("int"), "sensor_id").alias("sensor_id"),
-        _required(F.get(part, F.lit(2)).try_cast("double"), "concentration").alias("concentration"),
+        "value",
+        F.get(part, F.lit(0)).try_cast("bigint").alias("timestamp"),
+        F.get(part, F.lit(1)).try_cast("int").alias("sensor_id"),
+        F.get(part, F.lit(2)).try_cast("double").alias("concentration"),
     )
-    return typed.withColumn("ts", F.timestamp_millis("timestamp"))
+    good = F.col("timestamp").isNotNull() & F.col("sensor_id").isNotNull() & F.col("concentration").isNotNull()
+    return _only(typed, good, "sensor in line").drop("value").withColumn("ts", F.timestamp_millis("timestamp"))
 
 
 def _parse_fares(lines: DataFrame) -> DataFrame:
@@ -77,10 +82,7 @@ def read_fares(spark: SparkSession, path: str, streaming: bool = False, mode: st
         return parsed.select(*FARE_FIELDS, F.when(~F.col("_ok"), F.col("value")).alias("_corrupt_record"))
     if mode != "FAILFAST":
         raise ValueError(f"unknown mode {mode}")
-    checked = F.when(F.col("_ok"), F.col("ride_id")).otherwise(
-        F.raise_error(F.concat(F.lit("bad fare line: "), F.col("value"))).cast("bigint")
-    )
-    return parsed.select(checked.alias("ride_id"), *FARE_FIELDS[1:])
+    return _only(parsed, F.col("_ok"), "fare line").select(*FARE_FIELDS)
 
 
 def event_time(df: DataFrame, column: str = "start_time", name: str = "tms") -> DataFrame:

@@ -11,8 +11,8 @@ EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type S
 def events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """``events`` with an instant for event time (a watermark needs TIMESTAMP)."""
     if streaming:
-        reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet*")
-        raw = reader.parquet(sf_dir)
+        # A pattern that matches the table only, be it one file or a folder of part files.
+        raw = spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parque[t]")
     else:
         raw = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -27,6 +27,9 @@ def _frames(
     size = windows.size_ms
     if windows.slide_ms is not None:
         raise ValueError("the streaming monitor takes tumbling windows")
+    if not windows.strict:
+        # Rows before the start would have to join letter 0; a stream's windows cannot take them in.
+        raise ValueError("the streaming monitor takes strict windows: rows before start_ms are in no letter")
     start = f"{windows.start_ms % size} milliseconds"
     letter = F.window("ts", f"{size} milliseconds", startTime=start).alias("w")
     letters = stream.groupBy(*by, letter).agg(inner.alias("_holds"))
@@ -36,10 +39,12 @@ def _frames(
         f"{size} milliseconds",
         startTime=start,
     ).alias("w")
-    frames = letters.groupBy(*by, frame).agg(merge("_holds").alias(name))
+    inside = letters.where(F.unix_millis(F.col("w.start")) >= F.lit(windows.start_ms))
+    frames = inside.groupBy(*by, frame).agg(merge("_holds").alias(name))
     first = F.unix_millis(F.col("w.start")) - F.lit(windows.start_ms)
     idx = F.floor(first / F.lit(size)).cast("bigint")
-    return frames.select(*by, idx.alias("idx"), F.unix_millis(F.col("w.end")).alias("frame_end"), name)
+    placed = frames.select(*by, idx.alias("idx"), F.unix_millis(F.col("w.end")).alias("frame_end"), name)
+    return placed.where("idx >= 0")
 
 
 def monitor_always(

@@ -4,6 +4,10 @@ A stream ends when its input does, but its last windows only close once the wate
 ``record_stream`` therefore runs the query twice from one checkpoint: first over the input, then
 over a single end marker with a far-future event time that it adds to a second, so far empty,
 source of the same query. The marker's own window stays open and never shows.
+
+The marker has an event time and nothing else. Filters of the pipeline may drop it, but only after it
+has moved the watermark; and if a pipeline with state still ends with a lower watermark, the run fails
+instead of being incomplete.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.session import scratch_path
 from tidemark.sources.recordings import read_recorded, record_table
@@ -49,7 +54,27 @@ def _end_marker(spark: SparkSession, schema: T.StructType, ts: str) -> DataFrame
     return spark.range(1).select(*columns)
 
 
-def store_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
+def _tied_to_event_time(stream: DataFrame, ts: str) -> DataFrame:
+    """The same rows, with every column an expression of the event time too.
+
+    Spark moves filters below a watermark unless they refer to its column; now they all do. So the
+    filters of a pipeline see the end marker only after it has moved the watermark.
+    """
+    present = F.col(ts).isNotNull()
+    return stream.select(*[c if c == ts else F.when(present, F.col(c)).alias(c) for c in stream.columns])
+
+
+def _assert_flushed(query: StreamingQuery) -> None:
+    """The watermark of a query with state must have reached the end marker."""
+    progress = query.lastProgress
+    if progress is None or not progress["stateOperators"]:
+        return
+    reached = progress.get("eventTime", {}).get("watermark", "")
+    if not reached.startswith(str(END_OF_TIME.year)):
+        raise RuntimeError(f"the stream was not flushed: its watermark ended at {reached or 'none'}")
+
+
+def store_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process everything available and write it as parquet, exactly once."""
     query = (
         stream.writeStream.format("parquet")
@@ -60,13 +85,14 @@ def store_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+    return query
 
 
 def run_to_end(
     source: DataFrame,
     subject: Callable[[DataFrame], DataFrame],
     root: str,
-    store: Callable[[DataFrame, str], None],
+    store: Callable[[DataFrame, str], StreamingQuery],
     delay: str = "0 seconds",
     flush: bool = True,
     ts: str = "ts",
@@ -81,10 +107,10 @@ def run_to_end(
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in source.schema.fields])
     spark.createDataFrame([], schema).write.parquet(f"{root}/end")
     end = spark.readStream.schema(schema).parquet(f"{root}/end")
-    result = subject(ascending(source.unionByName(end), delay, ts))
+    result = subject(_tied_to_event_time(ascending(source.unionByName(end), delay, ts), ts))
     store(result, checkpoint)
     _end_marker(spark, schema, ts).write.mode("append").parquet(f"{root}/end")
-    store(result, checkpoint)
+    _assert_flushed(store(result, checkpoint))
 
 
 def record_stream(
@@ -98,8 +124,7 @@ def record_stream(
     """Run ``subject`` over the stream ``source`` to its end and read the recorded output back.
 
     ``flush=False`` leaves the windows open that the watermark has not passed; use it for subjects
-    without state. A subject must not filter on payload columns when flushing (the marker has none):
-    filter the source instead.
+    without state.
     """
     root = scratch_path(source.sparkSession, name)
     out = f"{root}/out"
