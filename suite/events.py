@@ -239,8 +239,7 @@ def sensor_window_mean(spark, sf_dir):
     return means.withColumn("concentration", F.round("concentration", 4))
 
 
-def pollution3_sql(sensors_out: str) -> str:
-    return f"""
+POLLUTION3_SQL = f"""
     WITH {sql.SENSORS}, slots AS (
       SELECT w_end - 1 AS tms, sensor_id, avg(concentration) AS mean
       FROM (SELECT *, {sql.w_end(DAY)} AS w_end FROM sensors) GROUP BY w_end, sensor_id),
@@ -252,22 +251,19 @@ def pollution3_sql(sensors_out: str) -> str:
       SELECT w_end, {_LEVEL_BY_COUNT} AS level FROM (
         SELECT w_end, {_OVER} FROM ends LEFT JOIN low USING (w_end) GROUP BY w_end)),
     limits AS (SELECT *, CASE level WHEN 'Alert' THEN 400 WHEN 'Warning' THEN 200 WHEN 'Notice' THEN 180 END AS lim FROM levels)
-    SELECT w_end, level, {sensors_out} AS sensors FROM limits LEFT JOIN low USING (w_end) GROUP BY w_end, level
+    SELECT w_end, level, sensor_id FROM limits JOIN low USING (w_end) WHERE mean > lim
+    UNION ALL SELECT w_end, level, CAST(-1 AS BIGINT) AS sensor_id FROM limits WHERE lim IS NULL
     """
 
 
-POLLUTION3_SQL = pollution3_sql(
-    "coalesce(string_agg(CAST(sensor_id AS VARCHAR), ',' ORDER BY sensor_id) FILTER (mean > lim), '')"
-)
-
-
-def joined_sensors(df: DataFrame) -> DataFrame:
-    return df.withColumn("sensors", F.array_join(F.col("sensors").cast("array<string>"), ","))
+def shown_sensors(levels: DataFrame) -> DataFrame:
+    """Windows without sensors show -1."""
+    return levels.select("w_end", "level", F.coalesce("sensor_id", F.lit(-1).cast("bigint")).alias("sensor_id"))
 
 
 @query("pollution3", POLLUTION3_SQL)
 def pollution3(spark, sf_dir):
-    return joined_sensors(pollution.pollution3(sensors(spark, sf_dir), "1 day", "3 days", "1 day").drop("ts"))
+    return shown_sensors(pollution.pollution3(sensors(spark, sf_dir), "1 day", "3 days", "1 day"))
 
 
 @query("harass_max", f"WITH {sql.INCIDENTS} SELECT w_end, zone_id, level FROM ({sql.harass()})")
@@ -304,4 +300,4 @@ def hourly_max(spark, sf_dir):
     return tips.hourly_max(fares(spark, sf_dir)).drop("ts").withColumn("tips", F.round("tips", 4))
 
 
-__all__ = ["SIX_HOURS", "alert_rows", "exceeds", "joined_sensors", "letter_keys"]
+__all__ = ["SIX_HOURS", "alert_rows", "exceeds", "letter_keys", "shown_sensors"]

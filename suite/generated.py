@@ -83,6 +83,22 @@ def gen_concat(spark, sf_dir):
     return g.concat(first, g.rows_n_to_m(g.always_windows(c, 2, seed=7), 1, 4), 3)
 
 
+@query(
+    "gen_concat_variable",
+    f"""
+    WITH {CASES}, f AS ({sql.until_windows(6)}), n AS (SELECT case_id, max(idx) + 1 AS n FROM f GROUP BY case_id)
+    SELECT case_id, idx, row, h FROM ({sql.rows('SELECT case_id, idx, wh FROM f', 2, 2)})
+    UNION ALL SELECT case_id, idx + n AS idx, row, h FROM ({sql.rows(sql.always_windows(2, 7), 1, 4)}) JOIN n USING (case_id)
+    """,
+)
+def gen_concat_variable(spark, sf_dir):
+    """A second part after a first whose length depends on the case."""
+    c = cases(spark, sf_dir)
+    windows = g.until_windows(c, 6)
+    second = g.rows_n_to_m(g.always_windows(c, 2, seed=7), 1, 4)
+    return g.concat_after(g.rows_n(windows, 2).drop("released"), g.window_counts(windows), second)
+
+
 @query(
     "gen_merge",
     f"""

@@ -10,6 +10,7 @@ from suite.events import SIX_HOURS, alert_rows
 from suite.registry import HOUR, T0, query
 from tidemark.functions.timed import add_timestamp
 from tidemark.operators.atoms import (
+    aggregate,
     be_empty,
     be_non_empty,
     exists_context,
@@ -18,10 +19,13 @@ from tidemark.operators.atoms import (
     foreach_context,
     foreach_element,
     foreach_projection,
+    mean_of,
+    mean_value,
 )
 from tidemark.operators.letters import letters
-from tidemark.operators.reports import failing_examples, window_head
-from tidemark.operators.sets import contained, missing_per_letter
+from tidemark.operators.reports import failing_examples, subset_examples, window_head
+from tidemark.operators.sets import missing_per_letter
+from tidemark.operators.temporal import always, evaluate, now, with_verdict
 from tidemark.operators.windows import Windows
 from tidemark.plans.pollution import pollution1
 from tidemark.sources.tables import events, sensors
@@ -229,10 +233,10 @@ def be_subset_query(spark, sf_dir):
     """,
 )
 def alerts_broadcast_subset(spark, sf_dir):
-    high = HOURLY.assign(sensors(spark, sf_dir).where(F.col("concentration") > 300)).select("idx", "tms", "sensor_id")
-    alerts = HOURLY.assign(alert_rows(spark, sf_dir))
-    marked = contained(high, alerts, "alerted", ["idx", "sensor_id"]).drop("idx")
-    return _assertion(marked, foreach_element("holds", F.col("alerted")), [], HOURLY)
+    high = sensors(spark, sf_dir).where(F.col("concentration") > 300)
+    missing = missing_per_letter(HOURLY.assign(high), HOURLY.assign(alert_rows(spark, sf_dir)), ["sensor_id"])
+    word = letters(HOURLY, rows=(high, []))
+    return word.join(missing, "idx", "left").select("idx", F.col("n_missing").isNull().alias("holds"))
 
 
 @query(
@@ -261,3 +265,89 @@ def failing_examples_query(spark, sf_dir):
 def window_head_query(spark, sf_dir):
     head = window_head(sensors(spark, sf_dir), SIX_HOURS, ["tms", "event_id"])
     return head.select("idx", "n_rows", "rank", "event_id")
+
+
+# -- windows with gaps: letters whose only rows lie in the gap after them are empty ----------------
+
+NARROW, APART = 2 * HOUR, 12 * HOUR
+HOPPING = Windows(NARROW, APART, T0)
+_IN = f"(tms - {T0}) % {APART} < {NARROW}"
+
+
+def _hopping_sql(aggregate_sql: str, empty: str, value: str = "holds") -> str:
+    return f"""
+    WITH {sql.SENSORS},
+    s AS (SELECT sensor_id, idx, {aggregate_sql} AS h FROM (SELECT *, {sql.letter_index(APART)} AS idx FROM sensors) GROUP BY sensor_id, idx),
+    word AS ({sql.word(['s'], f'coalesce(h, {empty}) AS holds', BY, APART)})
+    SELECT sensor_id, idx, {value} FROM word
+    """
+
+
+@query("hopping_foreach", _hopping_sql(f"bool_and(concentration <= 300) FILTER ({_IN})", "true"))
+def hopping_foreach(spark, sf_dir):
+    return _assertion(sensors(spark, sf_dir), foreach_element("holds", F.col("concentration") <= 300), BY, HOPPING)
+
+
+@query("hopping_exists", _hopping_sql(f"bool_or(concentration > 300) FILTER ({_IN})", "false"))
+def hopping_exists(spark, sf_dir):
+    return _assertion(sensors(spark, sf_dir), exists_element("holds", F.col("concentration") > 300), BY, HOPPING)
+
+
+@query(
+    "hopping_always",
+    _hopping_sql(
+        f"bool_and(concentration <= 300) FILTER ({_IN})", "true", f"{sql.verdict(sql.always(sql.bit('holds'), 3, BY))} AS verdict"
+    ),
+)
+def hopping_always(spark, sf_dir):
+    word = letters(HOPPING, BY, rows=(sensors(spark, sf_dir), [foreach_element("holds", F.col("concentration") <= 300)]))
+    return with_verdict(evaluate(word, always(now("holds"), 3), BY)).select("sensor_id", "idx", "verdict")
+
+
+@query(
+    "always_beyond_100_letters",
+    f"""
+    WITH {sql.SENSORS}, s AS ({sql.side('sensors', 'max(concentration) AS m', idx=sql.letter_index(HOUR))}),
+    word AS ({sql.word(['s'], 'coalesce(m, 0) <= 1900 AS calm', step=HOUR)})
+    SELECT idx, {sql.verdict(sql.always(sql.bit('calm'), 150))} AS verdict FROM word
+    """,
+)
+def always_beyond_100_letters(spark, sf_dir):
+    """A horizon of 150 hourly letters over the whole word."""
+    word = letters(HOURLY, rows=(sensors(spark, sf_dir), [foreach_element("calm", F.col("concentration") <= 1900)]))
+    return with_verdict(evaluate(word, always(now("calm"), 150))).select("idx", "verdict")
+
+
+# -- aggregates of one's own ---------------------------------------------------------------------
+
+
+@query(
+    "atom_mean",
+    f"""
+    WITH {sql.SENSORS}, s AS ({sql.side('sensors', 'avg(concentration) AS m, max(concentration) - min(concentration) AS w, count(*) AS c', BY)}),
+    word AS ({sql.word(['s'], 'm, w, coalesce(c, 0) AS c', BY)})
+    SELECT sensor_id, idx, round(m, 4) AS mean, round(w, 4) AS width FROM word
+    """,
+)
+def atom_mean(spark, sf_dir):
+    """Mean and width of every letter's values from aggregates that are given here."""
+    value = F.col("concentration")
+    atoms = [*mean_of("c", value), aggregate("high", value, F.max), aggregate("low", value, F.min)]
+    word = letters(SIX_HOURS, BY, rows=(sensors(spark, sf_dir), atoms))
+    return word.select("sensor_id", "idx", F.round(mean_value("c"), 4).alias("mean"), F.round(F.col("high") - F.col("low"), 4).alias("width"))
+
+
+@query(
+    "subset_examples",
+    f"""
+    WITH {sql.SENSORS}, p1 AS ({sql.pollution1()}),
+    a AS (SELECT DISTINCT {sql.letter_index()} AS idx, sensor_id FROM sensors WHERE concentration > 300),
+    b AS (SELECT DISTINCT {sql.letter_index()} AS idx, sensor_id FROM p1 WHERE level = 'Alert')
+    SELECT idx, CAST(rank AS INTEGER) AS rank, sensor_id FROM (
+      SELECT idx, sensor_id, row_number() OVER (PARTITION BY idx ORDER BY sensor_id) AS rank
+      FROM a ANTI JOIN b USING (idx, sensor_id)) WHERE rank <= 4
+    """,
+)
+def subset_examples_query(spark, sf_dir):
+    high = SIX_HOURS.assign(sensors(spark, sf_dir).where(F.col("concentration") > 300))
+    return subset_examples(high, SIX_HOURS.assign(alert_rows(spark, sf_dir)), ["sensor_id"]).select("idx", "rank", "sensor_id")

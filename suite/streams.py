@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suite import sql
-from suite.events import HOURLY_MAX_SQL, POLLUTION2_SQL, POLLUTION3_SQL, SIX_HOURS, joined_sensors
+from suite.events import HOURLY_MAX_SQL, POLLUTION2_SQL, POLLUTION3_SQL, SIX_HOURS, shown_sensors
 from suite.formulas import BY, CASE_SQL, NO_ALERT, SENSOR_WORD, SOME_ALERT
 from suite.generated import QUARTER, cases
 from suite.registry import ORACLES, query
@@ -58,8 +58,8 @@ def stream_pollution2(spark, sf_dir):
 @query("stream_pollution3", POLLUTION3_SQL)
 def stream_pollution3(spark, sf_dir):
     source = sensors(spark, sf_dir, streaming=True)
-    out = record_stream(source, lambda s: pollution.pollution3(s, "1 day", "3 days", "1 day"), "pollution3")
-    return joined_sensors(out.drop("ts"))
+    spans = record_stream(source, lambda s: pollution.sensor_spans(s, "1 day", "3 days", "1 day"), "spans")
+    return shown_sensors(pollution.span_levels(spans))
 
 
 @query("stream_harass_max", f"WITH {sql.INCIDENTS} SELECT w_end, zone_id, level FROM ({sql.harass()})")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timed import add_timestamp
 from tidemark.plans.harass import harass_max
-from tidemark.plans.pollution import pollution1, pollution2, pollution3, sensor_window_mean
+from tidemark.plans.pollution import pollution1, pollution2, pollution3, sensor_spans, sensor_window_mean, span_levels
 from tidemark.plans.tips import hourly_max, max_hourly_tips, tips_per_hour_driver
 from tidemark.sources.files import read_sensors
 from tidemark.streaming.recorder import record_stream, replay
@@ -20,11 +20,18 @@ SLIDING = [(4000, 1, "Alert"), (4000, 2, "Notice"), (5000, 1, "Alert"), (5000, 2
 POLLUTION2 = [(3000, "OK"), (4000, "OK"), (5000, "Notice"), (6000, "Alert"), (7000, "Warning"), (8000, "OK"), (9000, "OK")]
 POLLUTION3 = [(3000, "OK", []), (4000, "OK", []), (5000, "Alert", [1, 2, 3]), (6000, "Warning", [1, 2, 3]),
               (7000, "Notice", [1, 3, 4]), (8000, "OK", []), (9000, "OK", [])]
+
+
+def with_sensors(levels, *keys):
+    """The rows of a window as one row with a list, to compare with what is known."""
+    grouped = levels.groupBy(*keys, "ts", "w_end", "level")
+    return grouped.agg(F.sort_array(F.collect_list("sensor_id")).alias("sensors"))
+
+
 GOLDEN = [
     ("sensor1", pollution1, ("w_end", "sensor_id", "level"), POLLUTION1),
     ("sensor1", lambda df: pollution1(df, "3 seconds", "1 second"), ("w_end", "sensor_id", "level"), SLIDING),
     ("sensor2", pollution2, ("w_end", "level"), POLLUTION2),
-    ("sensor3", pollution3, ("w_end", "level", "sensors"), POLLUTION3),
 ]
 
 
@@ -40,6 +47,13 @@ def test_golden_stream(spark, sensor_files, name, pipeline, columns, expected):
     assert rows(record_stream(df, pipeline, name), *columns) == expected
 
 
+def test_golden_levels_with_sensors(spark, sensor_files):
+    df = read_sensors(spark, sensor_files["sensor3"])
+    assert rows(with_sensors(pollution3(df)), "w_end", "level", "sensors") == POLLUTION3
+    spans = record_stream(read_sensors(spark, sensor_files["sensor3"], streaming=True), sensor_spans, "spans")
+    assert rows(with_sensors(span_levels(spans)), "w_end", "level", "sensors") == POLLUTION3
+
+
 def test_window_result_carries_its_last_millisecond(spark, sensor_files):
     df = pollution1(read_sensors(spark, sensor_files["sensor1"]))
     assert add_timestamp(df).where(F.col("tms") != F.col("w_end") - 1).count() == 0
@@ -48,7 +62,7 @@ def test_window_result_carries_its_last_millisecond(spark, sensor_files):
 def test_extra_keys_keep_cases_apart(spark, sensor_files):
     df = read_sensors(spark, sensor_files["sensor3"])
     both = df.withColumn("case_id", F.lit(1)).unionByName(df.withColumn("case_id", F.lit(2)))
-    got = pollution3(both, keys=["case_id"])
+    got = with_sensors(pollution3(both, keys=["case_id"]), "case_id")
     for case in (1, 2):
         assert rows(got.where(F.col("case_id") == case), "w_end", "level", "sensors") == POLLUTION3
 

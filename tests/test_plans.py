@@ -113,3 +113,27 @@ def test_one_hot_row_value_is_split(spark, conf, operation):
     result = df.groupBy().agg(F.sum("id"))
     result.collect()
     assert "skew=true" in plan(result)
+
+
+@pytest.mark.parametrize("name", ["pollution1_sliding", "pollution2", "pollution3"])
+def test_rows_are_combined_before_they_are_copied_to_windows(spark, large, name):
+    """Below every Expand lies a partial aggregate: only pane results are copied."""
+    lines = plan(suite.QUERIES[name](spark, SF)).splitlines()
+    assert not any("collect_list" in line for line in lines)
+    expands = [i for i, line in enumerate(lines) if "Expand" in line]
+    assert expands
+    for i in expands:
+        below = "\n".join(lines[i : i + 12])
+        assert "HashAggregate" in below.split("FileScan")[0]
+
+
+def test_ends_of_words_are_hash_aggregated(spark, large):
+    assert "SortAggregate" not in plan(suite.QUERIES["t_always"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["alerts_broadcast_subset", "bound_alert_liveness"])
+def test_membership_does_not_join_rows(spark, large, name):
+    """Rows are grouped; what is joined has one row per letter."""
+    text = plan(suite.QUERIES[name](spark, SF))
+    for part in text.split("SortMergeJoin")[1:]:
+        assert "idx" in part.split("]")[0]

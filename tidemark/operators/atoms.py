@@ -14,45 +14,58 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+Aggregate = Callable[[Column], Column]
+
+
 @dataclass(frozen=True)
 class Atom:
-    """``kind`` aggregate of ``value`` over the rows of a letter, called ``name`` in the result."""
+    """An aggregate of the rows of a letter, called ``name`` in the result.
+
+    ``aggregate_rows`` is any built-in aggregate of ``value``, ``merge_parts`` puts results of parts of a
+    letter together, ``empty`` is what a letter without rows has. For a value that needs more than one part
+    (a mean, say) use one atom per part and compute it from the letters.
+    """
 
     name: str
-    kind: str
     value: Column
+    aggregate_rows: Aggregate
+    merge_parts: Aggregate
+    empty: Any = None
+    condition: bool = False  # a NULL value does not hold
 
     def aggregate(self, inside: Column | None = None) -> Column:
-        value = self.value
-        if self.kind in ("every", "some", "count"):
-            value = F.coalesce(value, F.lit(False))
+        value = F.coalesce(self.value, F.lit(False)) if self.condition else self.value
         if inside is not None:
             value = F.when(inside, value)
-        return _KINDS[self.kind][0](value).alias(self.name)
+        return self.aggregate_rows(value).alias(self.name)
 
     def merge(self) -> Column:
-        return _KINDS[self.kind][1](self.name).alias(self.name)
+        return self.merge_parts(F.col(self.name)).alias(self.name)
 
     def or_empty(self, present: Column) -> Column:
         """The assertion's value, or what it is at a letter without rows (``present`` false)."""
-        empty = _KINDS[self.kind][2]
-        return F.when(present, F.col(self.name)).otherwise(F.lit(empty)).alias(self.name)
+        return F.when(present, F.col(self.name)).otherwise(F.lit(self.empty)).alias(self.name)
+
+
+def aggregate(name: str, value: Column, rows: Aggregate, merge: Aggregate | None = None, empty: Any = None) -> Atom:
+    """A user's own aggregate, e.g. ``aggregate("last", F.col("tms"), F.max)``; parts are merged by the same
+    function unless another is given. Rows of a letter's gap come as NULL, which built-in aggregates skip."""
+    return Atom(name, value, rows, merge or rows, empty)
+
+
+def mean_of(name: str, value: Column) -> list[Atom]:
+    """Sum and count of a value, from which :func:`mean_value` takes the mean of every letter."""
+    return [aggregate(f"{name}_sum", value, F.sum), aggregate(f"{name}_count", value, F.count, F.sum, 0)]
 
 
-# kind -> (aggregate over rows, merge of partial results, value at an empty letter)
-_KINDS: dict[str, tuple[Callable, Callable, Any]] = {
-    "every": (F.bool_and, F.bool_and, True),
-    "some": (F.bool_or, F.bool_or, False),
-    "count": (F.count_if, F.sum, 0),
-    "max": (F.max, F.max, None),
-    "min": (F.min, F.min, None),
-    "sum": (F.sum, F.sum, None),
-}
+def mean_value(name: str) -> Column:
+    """Mean of a letter's values; NULL without values."""
+    return F.when(F.col(f"{name}_count") > 0, F.col(f"{name}_sum") / F.col(f"{name}_count"))
 
 
 def foreach_element(name: str, predicate: Column) -> Atom:
     """Every row satisfies the predicate; true on no rows."""
-    return Atom(name, "every", predicate)
+    return Atom(name, predicate, F.bool_and, F.bool_and, True, condition=True)
 
 
 def foreach_projection(name: str, projection: Column, predicate: Callable[[Column], Column]) -> Atom:
@@ -71,7 +84,7 @@ def foreach_context(name: str, context: Any, predicate: Callable[[Any], Column])
 
 def exists_element(name: str, predicate: Column) -> Atom:
     """Some row satisfies the predicate; false on no rows."""
-    return Atom(name, "some", predicate)
+    return Atom(name, predicate, F.bool_or, F.bool_or, False, condition=True)
 
 
 def exists_projection(name: str, projection: Column, predicate: Callable[[Column], Column]) -> Atom:
@@ -96,4 +109,4 @@ def be_non_empty(name: str) -> Atom:
 
 def count_rows(name: str, predicate: Column | None = None) -> Atom:
     """Number of rows (that satisfy a predicate)."""
-    return Atom(name, "count", F.lit(True) if predicate is None else predicate)
+    return Atom(name, F.lit(True) if predicate is None else predicate, F.count_if, F.sum, 0, condition=True)

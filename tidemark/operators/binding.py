@@ -1,9 +1,8 @@
 """Assertions that tie the rows of one letter to a later letter.
 
-"Every key of letter i is among the keys of letter i + o" for a few offsets o. The early keys are
-copied to each letter in which they are looked for, put together with the late keys and grouped by
-(letter, key): one shuffle of what is left after map-side combining, and no join. A group says
-which offsets wanted the key and whether it was there.
+"Every key of letter i is among the keys of letter i + o" for a few offsets o. The keys of every letter
+are made distinct first (combined map-side); only these are copied to each letter in which they are
+looked for, and grouped by (letter, key) with a bit per offset. There is no join of rows.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.kleene import FALSE, TRUE, UNDECIDED, code
+from tidemark.operators.sets import union_marked
 from tidemark.operators.windows import Discretizer
 
 
@@ -33,23 +33,29 @@ def bind_subset(
 
     A letter without keys holds at every offset; an offset past the end of the word is Undecided.
     """
+    if max(offsets) > 62 or min(offsets) < 0:
+        raise ValueError("offsets must be 0..62")
     by = list(by)
     columns = [*by, "idx", *keys]
-    wanted = windows.assign(early, tms).select(*columns)
-    wanted = wanted.withColumn("_offset", F.explode(F.array(*[F.lit(o) for o in offsets])))
-    wanted = wanted.withColumn("idx", F.col("idx") + F.col("_offset"))
-    seen = windows.assign(late, tms).select(*columns, F.lit(None).cast("int").alias("_offset"))
-    looked_for = [F.coalesce(F.bool_or(F.col("_offset") == F.lit(o)), F.lit(False)).alias(f"_for_{o}") for o in offsets]
-    groups = wanted.unionByName(seen).groupBy(*columns).agg(F.bool_or(F.col("_offset").isNull()).alias("_seen"), *looked_for)
-    missing_for = F.array(*[F.when(F.col(f"_for_{o}"), F.lit(o)) for o in offsets])
-    misses = groups.where(~F.col("_seen")).select(*by, "idx", F.explode(F.array_compact(missing_for)).alias("_offset"))
-    flags = [F.bool_or(F.col("_offset") == F.lit(o)).alias(f"_miss_{o}") for o in offsets]
-    per_letter = misses.groupBy(*by, (F.col("idx") - F.col("_offset")).alias("idx")).agg(*flags)
+    both = union_marked(windows.assign(early, tms).select(*columns), windows.assign(late, tms).select(*columns), "_early")
+    # Each key of a letter once, before it is copied to the letters in which it is looked for.
+    once = both.groupBy(*columns).agg(F.bool_or("_early").alias("_early"), F.bool_or(~F.col("_early")).alias("_late"))
+    here = F.when(F.col("_late"), F.array(F.struct(F.lit(0).alias("o"), F.lit(0).cast("bigint").alias("want")))).otherwise(F.array())
+    ahead = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(1 << o).cast("bigint").alias("want")) for o in offsets])
+    copies = once.withColumn("_x", F.explode(F.concat(here, F.when(F.col("_early"), ahead).otherwise(F.array()))))
+    placed = copies.select(*by, (F.col("idx") + F.col("_x.o")).alias("idx"), *keys, F.col("_x.want").alias("_want"))
+    # A key that is there brings a row that wants nothing.
+    groups = placed.groupBy(*columns).agg(F.bit_or("_want").alias("_want"), F.bool_or(F.col("_want") == 0).alias("_seen"))
+    offset = F.array(*[F.when(F.col("_want").bitwiseAND(F.lit(1 << o)) != 0, F.lit(o)) for o in offsets])
+    misses = groups.where(~F.col("_seen")).select(*by, "idx", F.explode(F.array_compact(offset)).alias("_offset"))
+    mask = F.bit_or(F.pow(F.lit(2), F.col("_offset")).cast("bigint"))
+    per_letter = misses.groupBy(*by, (F.col("idx") - F.col("_offset")).alias("idx")).agg(mask.alias("_missed"))
 
     def value(offset: int) -> Column:
+        missed = F.coalesce(F.col("_missed"), F.lit(0)).bitwiseAND(F.lit(1 << offset)) != 0
         return (
             F.when(F.col("idx") + F.lit(offset) > F.col("last_idx"), code(UNDECIDED))
-            .when(F.coalesce(F.col(f"_miss_{offset}"), F.lit(False)), code(FALSE))
+            .when(missed, code(FALSE))
             .otherwise(code(TRUE))
             .alias(f"{prefix}{offset}")
         )

@@ -70,6 +70,18 @@ def concat(first: DataFrame, second: DataFrame, length: int) -> DataFrame:
     return first.unionByName(later(second, length))
 
 
+def concat_after(first: DataFrame, lengths: DataFrame, second: DataFrame) -> DataFrame:
+    """Windows of ``second`` after those of ``first``, whose number differs by case: ``lengths`` has
+    ``case_id, n_windows`` (empty windows count). A case without a length has the first part only."""
+    moved = second.join(lengths, "case_id").withColumn("idx", F.col("idx") + F.col("n_windows")).drop("n_windows")
+    return first.unionByName(moved)
+
+
+def window_counts(windows: DataFrame) -> DataFrame:
+    """``case_id, n_windows``: up to the last window of each case."""
+    return windows.groupBy("case_id").agg((F.max("idx") + F.lit(1)).alias("n_windows"))
+
+
 def merge(first: DataFrame, second: DataFrame, first_rows_max: int) -> DataFrame:
     """Rows of both in the same windows; row numbers of ``second`` continue after the first's."""
     return first.unionByName(second.withColumn("row", F.col("row") + F.lit(first_rows_max)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.sets import absent_keys
 from tidemark.operators.windows import Discretizer
 
 EXAMPLES = 4
@@ -38,6 +39,13 @@ def failing_examples(
     return first_rows(windows.assign(failing, tms), n, order, by)
 
 
+def subset_examples(
+    left: DataFrame, other: DataFrame, keys: Sequence[str], n: int = EXAMPLES, by: Sequence[str] = ()
+) -> DataFrame:
+    """Up to n keys per letter of ``left`` (``by..., idx, keys...``) that the letter of ``other`` lacks, in key order."""
+    return first_rows(absent_keys(left, other, keys, by), n, keys, by)
+
+
 def window_head(
     df: DataFrame,
     windows: Discretizer,

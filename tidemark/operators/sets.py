@@ -61,7 +61,11 @@ def missing_per_letter(left: DataFrame, other: DataFrame, keys: Sequence[str], b
     miss nothing). Duplicates do not matter here, so the two tables are put together and grouped:
     one shuffle, combined map-side, and no join that a frequent key could skew.
     """
+    return absent_keys(left, other, keys, by).groupBy(*by, "idx").agg(F.count(F.lit(1)).alias("n_missing"))
+
+
+def absent_keys(left: DataFrame, other: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by..., idx, keys...``: the distinct keys of ``left`` that the same letter of ``other`` does not have."""
     columns = [*by, "idx", *keys]
     both = union_marked(left.select(*columns), other.select(*columns))
-    absent = both.groupBy(*columns).agg(F.bool_and("is_left").alias("absent")).where("absent")
-    return absent.groupBy(*by, "idx").agg(F.count(F.lit(1)).alias("n_missing"))
+    return both.groupBy(*columns).agg(F.bool_and("is_left").alias("absent")).where("absent").drop("absent")
