@@ -7,6 +7,7 @@ from oracle import TESTDATA, connect, differences
 
 import __spark_entry__ as entry_point
 from suite import QUERIES, ORACLES
+from suite.recorded import NAMES
 
 SF = f"{TESTDATA}/sf0.001"
 
@@ -32,3 +33,10 @@ def test_entry_point_has_them_all():
 def test_entry(spark):
     df = entry_point.entry(spark)
     assert df.columns == ["sensor_id", "idx", "verdict"] and df.count() > 0
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_recorded_properties_can_fail(name):
+    """The verdicts of the oracle are not all the same, so a constant would not pass."""
+    verdicts = connect(f"{TESTDATA}/sf0.01").execute(ORACLES[name]).df()["verdict"]
+    assert verdicts.nunique() >= 2
