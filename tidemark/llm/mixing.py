@@ -13,66 +13,153 @@ any round are a column of the posterior and the steps so far. Only steps are kep
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+import itertools
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialised, words
+from tidemark.llm.common import map_arrow, materialised, row_key
 
 DOMAINS = ("clean", "low", "toxic")
 # Wanted shares of all tokens; the first domain is used in full and sets the scale.
-WEIGHTS = {"clean": 0.97, "low": 0.03, "toxic": 0.0}
+WEIGHTS = {"clean": 0.91, "low": 0.07, "toxic": 0.02}
 # Bound of the labelled sample that the classifier is fitted on; everything else covers all rows.
 SAMPLE_ROWS = 8000
-FEATURES = 1 << 16
-MAX_ITER = 25
-REGULARISATION = 1e-3
+FEATURES = 1 << 17
+PREFIXES = (4, 5)  # bytes
+# Features that fewer sampled documents have say nothing about others.
+MIN_DOCS = 20
+STEPS = 80
+REGULARISATION = 5.0
+RATE = 0.2
 ROUNDS = 40
+# Added to the curvature when steps are scaled by its inverse; keeps steps bounded where targets conflict.
+RIDGE = 0.01
 TOLERANCE = 1e-3
-PUNCTUATION = ".,;:!?\"'()"
+_EDGE = b".,;:!?\"'()"
+_MEMO_ROWS = 500_000
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
     """``doc_id, domain``: toxic if any label row says so, else low or clean by quality; NULLs label nothing."""
     per_doc = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     domain = F.when(F.col("t") == 1, 2).when(F.col("q") == 0, 1).when(F.col("q") == 1, 0)
-    return per_doc.select("doc_id", domain.cast("double").alias("domain")).where("domain IS NOT NULL")
+    return per_doc.select("doc_id", domain.cast("int").alias("domain")).where("domain IS NOT NULL")
+
+
+class _Places(dict):
+    """Features of a word: hashes of its lower-case form without outer punctuation, and of how it begins."""
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        core = word.lower().strip(_EDGE)
+        forms = [core, *(core[:n] + b"*" for n in PREFIXES if len(core) > n)]
+        places = tuple(xxhash.xxh32_intdigest(f) % FEATURES for f in forms)
+        if len(self) < _MEMO_ROWS:
+            self[word] = places
+        return places
+
 
+_PLACES = _Places()
 
-def _features(rows: DataFrame) -> DataFrame:
-    """Which words occur, hashed, of lower-case text without punctuation. Adds column ``features``."""
-    text = F.translate(F.lower(F.coalesce(F.col("text"), F.lit(""))), PUNCTUATION, " " * len(PUNCTUATION))
-    return HashingTF(inputCol="tokens", outputCol="features", numFeatures=FEATURES, binary=True).transform(rows.withColumn("tokens", words(text)))
 
+def features(text: str | None) -> tuple[int, np.ndarray]:
+    """Number of words, and the features that occur."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    places = set(itertools.chain.from_iterable(map(_PLACES.__getitem__, set(words))))
+    return len(words), np.fromiter(places, np.int32, len(places))
 
-def fit_classifier(docs: DataFrame, labels: DataFrame) -> LogisticRegressionModel | None:
-    """Multinomial logistic regression on at most ``SAMPLE_ROWS`` labelled documents; None without any.
+
+@dataclass
+class Classifier:
+    """Multinomial logistic regression over which features occur: one weight row per feature."""
+
+    weights: np.ndarray
+    bias: np.ndarray
+
+    def posterior(self, places: np.ndarray) -> np.ndarray:
+        z = self.bias + self.weights[places].sum(axis=0, dtype=np.float64)
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+
+def train(rows: list[np.ndarray], domains: np.ndarray) -> Classifier | None:
+    """Full-batch gradient ascent with per-weight steps and an L2 penalty; None without rows."""
+    if not len(rows):
+        return None
+    k = len(DOMAINS)
+    common = np.bincount(np.concatenate(rows), minlength=FEATURES) >= min(MIN_DOCS, len(rows) // 10)
+    rows = [r[common[r]] for r in rows]
+    lengths = np.array([len(r) for r in rows])
+    place = np.concatenate(rows)
+    order = np.argsort(place, kind="stable").astype(np.int32)
+    used, heads = np.unique(place[order], return_index=True)
+    rank = np.searchsorted(used, place).astype(np.int32)
+    by_place = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)[order]
+    w, bias = np.zeros((len(used), k), np.float32), np.zeros(k)
+    # First and second moments of the gradients, of weights and of the bias (Adam).
+    moments = [np.zeros_like(w), np.zeros_like(w), np.zeros(k), np.zeros(k)]
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    gold = np.eye(k)[domains]
+    for t in range(1, STEPS + 1):
+        z = np.zeros((len(rows), k))
+        if len(place):
+            z[lengths > 0] = np.add.reduceat(w[rank], starts, axis=0)
+        z += bias
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        error = ((gold - e / e.sum(axis=1, keepdims=True)) / len(rows)).astype(np.float32)
+        size = RATE * (1 - t / (STEPS + 1)) / (1 - 0.9**t) * np.sqrt(1 - 0.99**t)
+        for x, grad, at in ((bias, error.sum(axis=0), 2), (w, np.add.reduceat(error[by_place], heads, axis=0) - REGULARISATION / len(rows) * w if len(place) else w, 0)):
+            first, second = moments[at], moments[at + 1]
+            first += 0.1 * (grad - first)
+            second += 0.01 * (grad**2 - second)
+            x += size * first / (np.sqrt(second) + 1e-9)
+    weights = np.zeros((FEATURES, k), np.float32)
+    weights[used] = w
+    return Classifier(weights, bias)
+
+
+def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [features(t.as_py())[1].tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["domain", "places"])
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame) -> Classifier | None:
+    """Fitted on at most ``SAMPLE_ROWS`` labelled documents; None without any.
 
     The sample is the labelled ids with the smallest hashes, so it does not depend on the data's layout.
-    It is broadcast: its size is bounded by the parameter.
+    It is broadcast, and its features reach the driver: the parameter bounds both. Of several rows with
+    one id, one counts.
     """
     chosen = domain_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", "text")
-    train = materialised(sample, "sample").repartition(12)
-    if train.isEmpty():
-        return None
-    return LogisticRegression(labelCol="domain", maxIter=MAX_ITER, regParam=REGULARISATION, family="multinomial", standardization=False).fit(
-        _features(train).select("domain", "features")
-    )
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("domain").alias("domain"), F.max("text").alias("text"))
+    rows = map_arrow(sample.select("domain", "text"), _feature_batches, "domain int, places binary").collect()
+    return train([np.frombuffer(bytes(r.places), np.int32) for r in rows], np.array([r.domain for r in rows], np.int64))
 
 
-def posteriors(docs: DataFrame, model: LogisticRegressionModel | None) -> DataFrame:
-    """``row`` (all columns of ``docs``), ``n`` (words), ``p`` (array, one probability per domain)."""
-    k = len(DOMAINS)
-    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
-    n = F.size(words(F.col("text"))).cast("double").alias("n")
-    if model is None:
-        return rows.select("row", n, F.array(*[F.lit(1.0 / k)] * k).alias("p"))
-    known = vector_to_array("probability")
-    p = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda d: F.coalesce(F.get(known, d), F.lit(0.0)))
-    return model.transform(_features(rows)).select("row", n, p.alias("p"))
+def _posteriors(model: Classifier | None):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(DOMAINS)
+        for batch in batches:
+            counts, p = [], []
+            for text in batch.column(2):
+                n, places = features(text.as_py())
+                counts.append(float(n))
+                p.append(model.posterior(places).tolist() if model else [1 / k] * k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.float64()), pa.array(p, pa.list_(pa.float64()))], ["doc_id", "rk", "n", "p"])
+
+    return find
+
+
+def posteriors(docs: DataFrame, model: Classifier | None) -> DataFrame:
+    """``doc_id, rk, n, p``: row key, words and one probability per domain for every row."""
+    rows = docs.select("doc_id", row_key().alias("rk"), "text")
+    return map_arrow(rows, _posteriors(model), "doc_id long, rk long, n double, p array<double>")
 
 
 def rate(p: Column, steps: list[list[float]]) -> Column:
@@ -87,46 +174,54 @@ def fit_rates(table: DataFrame, weights: dict[str, float] = WEIGHTS) -> list[lis
     """Steps of projected gradient descent on ``table(n, p)``.
 
     Errors are relative to a domain's tokens at rate 1, so that a rare domain counts as much as a
-    common one. Stops when all totals are within ``TOLERANCE`` or after ``ROUNDS``.
+    common one. A step is the gradient scaled by the inverse curvature over the documents whose rate is
+    not zero; totals and curvature are one aggregation of a dozen numbers. Stops when all totals are
+    within ``TOLERANCE`` or after ``ROUNDS``.
     """
     k = len(DOMAINS)
-
-    def totals(steps: list[list[float]]) -> list[float]:
-        r = table.select(rate(F.col("p"), steps).alias("r"), "n", "p")
-        return [float(x or 0.0) for x in r.agg(*[F.sum(F.col("r") * F.col("n") * F.get("p", F.lit(d))) for d in range(k)]).first()]
-
-    there = totals([])
-    target = [there[0] * weights[d] / weights[DOMAINS[0]] for d in DOMAINS]
+    pairs = [(a, b) for a in range(k) for b in range(k)]
+
+    def measure(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        p = [F.get("p", F.lit(d)) for d in range(k)]
+        r = table.select(rate(F.col("p"), steps).alias("r"), F.col("n"), *[x.alias(f"p{d}") for d, x in enumerate(p)])
+        used = F.when(F.col("r") > 0, F.col("n")).otherwise(F.lit(0.0))
+        sums = [F.sum(F.col("r") * F.col("n") * F.col(f"p{d}")) for d in range(k)] + [F.sum(used * F.col(f"p{a}") * F.col(f"p{b}")) for a, b in pairs]
+        found = np.array([float(x or 0.0) for x in r.agg(*sums).first()])
+        return found[:k], found[k:].reshape(k, k)
+
+    now, curvature = measure([])
+    there = np.maximum(now, 1e-9)
+    target = now[0] * np.array([weights[d] for d in DOMAINS]) / weights[DOMAINS[0]]
     steps: list[list[float]] = []
-    now = there
     for _ in range(ROUNDS):
-        error = [(now[d] - target[d]) / there[d] if there[d] > 0 else 0.0 for d in range(k)]
-        if max(map(abs, error)) <= TOLERANCE:
+        error = np.where(there > 1e-9, (now - target) / there, 0.0)
+        if np.abs(error).max() <= TOLERANCE:
             break
-        steps.append(error)
-        now = totals(steps)
+        scale = np.linalg.inv(curvature / there[:, None] + RIDGE * np.eye(k))
+        steps.append((scale @ error).tolist())
+        now, curvature = measure(steps)
     return steps
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """``row, n, p, rate``: every row of ``docs`` with its words, domain posterior and rate.
+    """``doc_id, rk, n, p, rate``: every row of ``docs`` with its words, domain posterior and rate.
 
     NULL and empty texts have no words and do not move the totals; they get the rate their posterior
     implies. Repeated rows get equal rates. Without labels the posterior is uniform. A domain without
-    tokens has no say. Labels of unknown documents are ignored.
+    tokens has no say. Labels of unknown documents are ignored. Posteriors are written as a table once;
+    every round of the fit reads that.
     """
-    model = fit_classifier(docs, labels)
-    soft = posteriors(docs, model)
-    steps = fit_rates(materialised(soft.select("n", "p"), "posteriors"), weights)
-    return soft.withColumn("rate", rate(F.col("p"), steps))
+    table = materialised(posteriors(docs, fit_classifier(docs, labels)), "posteriors")
+    return table.withColumn("rate", rate(F.col("p"), fit_rates(table, weights)))
 
 
 def rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, p_<domain>..., rate``: one row per document."""
-    out = mixed(docs, labels)
-    return out.select("row.doc_id", F.col("n").cast("long").alias("n_tokens"), *[F.get("p", F.lit(d)).alias(f"p_{name}") for d, name in enumerate(DOMAINS)], "rate")
+    p = [F.get("p", F.lit(d)).alias(f"p_{name}") for d, name in enumerate(DOMAINS)]
+    return mixed(docs, labels).select("doc_id", F.col("n").cast("long").alias("n_tokens"), *p, "rate")
 
 
 def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose rate rounds to at least one use."""
-    return mixed(docs, labels).where("rate >= 0.5").select("row.*")
+    unused = mixed(docs, labels).where("rate < 0.5").select(F.col("rk").alias("__rk")).distinct()
+    return docs.join(materialised(unused, "unused"), row_key() == F.col("__rk"), "left_anti")

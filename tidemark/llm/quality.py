@@ -18,7 +18,7 @@ from tidemark.llm.common import WHITESPACE, let, words
 
 BINS = 1 << 14
 SMOOTHING = 1.0
-THRESHOLD = -0.15
+THRESHOLD = -0.17
 SYMBOLS = "#*$%&|<>"
 REPEAT = 5
 MIN_WORDS = 10

@@ -69,7 +69,7 @@ _FINE = regex.compile(public_tokenizers.PATTERN)
 _STOPS = frozenset(".,;:!?")
 # White space on which two regex engines may differ, and text that may be a special token: encoded whole.
 _ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\|")
-_MEMO_ROWS = 600_000
+_MEMO_ROWS = 900_000
 _MEMO_PIECE = 64
 _TEXTS = 512
 _STATE: dict = {}
