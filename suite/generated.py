@@ -139,13 +139,13 @@ SECOND, MINUTE = 1000, 60_000
 
 def property_sql(
     source: str, output: str, input_atoms: str, output_atoms: str, values: str, formula: str, size: int, slide: int | None = None,
-    more: str = "", letters: str = "word", start: int = 0, cases_sql: str = CASES,
+    more: str = "", letters: str = "word", start: int = 0, cases_sql: str = CASES, generated: bool = True,
 ) -> str:
     """Verdict per case: generated source, output of the pipeline, letters, formula at letter 0."""
     idx = sql.letter_index(size, start) if slide is None else sql.slide_indexes(size, slide, start)
     step = slide or size
     return f"""
-    WITH {cases_sql}, src AS ({source}), out AS ({output}),
+    WITH {cases_sql}, src AS (SELECT *{" EXCLUDE (idx)" if generated else ""} FROM ({source})), out AS ({output}),
     i AS ({sql.side('src', input_atoms, CASE, idx)}), o AS ({sql.side('out', output_atoms, CASE, idx)}),
     word AS ({sql.word(['i', 'o'], values, CASE, step, start)}){more},
     f AS (SELECT case_id, idx, {formula} AS v FROM {letters})

@@ -45,7 +45,7 @@ def _check(prop: Property, source: DataFrame, subject) -> DataFrame:
     "recorded_high_never_ok",
     property_sql(
         _source("sensors", "sensor_id"), sql.pollution1("src", HOUR, CASE), N, "bool_and(level <> 'OK') AS ok",
-        "coalesce(ok, true) AS ok", sql.always(sql.bit("ok"), 3, CASE), 12 * HOUR, start=T0,
+        "coalesce(ok, true) AS ok", sql.always(sql.bit("ok"), 3, CASE), 12 * HOUR, start=T0, generated=False,
     ),
 )
 def recorded_high_never_ok(spark, sf_dir):
@@ -60,7 +60,7 @@ def recorded_high_never_ok(spark, sf_dir):
     "recorded_danger_never_safe",
     property_sql(
         _source("incidents", "zone_id"), sql.harass("src", HOUR, CASE), N, "bool_and(level <> 'Safe') AS ns",
-        "coalesce(ns, true) AS ns", sql.always(sql.bit("ns"), 4, CASE), DAY, start=T0,
+        "coalesce(ns, true) AS ns", sql.always(sql.bit("ns"), 4, CASE), DAY, start=T0, generated=False,
     ),
 )
 def recorded_danger_never_safe(spark, sf_dir):
@@ -75,7 +75,7 @@ def recorded_danger_never_safe(spark, sf_dir):
     "recorded_single_hourly_max",
     property_sql(
         _source("fares", "driver_id"), sql.top_tips("src", HOUR, CASE), N, N,
-        "coalesce(o.n, 0) AS n", sql.eventually(sql.bit("n >= 2"), 4, CASE), DAY, start=T0,
+        "coalesce(o.n, 0) AS n", sql.eventually(sql.bit("n >= 2"), 4, CASE), DAY, start=T0, generated=False,
         cases_sql=f"{sql.FARES}, cases AS (SELECT DISTINCT driver_id AS case_id FROM fares)",
     ),
 )
@@ -89,7 +89,7 @@ def recorded_single_hourly_max(spark, sf_dir):
     "recorded_tips_bounded",
     property_sql(
         _source("fares", "driver_id"), sql.driver_tips("src", HOUR, CASE), N, "bool_and(tips <= 120) AS good",
-        "coalesce(good, true) AS good", sql.always(sql.bit("good"), 5, CASE), DAY, start=T0,
+        "coalesce(good, true) AS good", sql.always(sql.bit("good"), 5, CASE), DAY, start=T0, generated=False,
         cases_sql=f"{sql.FARES}, cases AS (SELECT DISTINCT driver_id AS case_id FROM fares)",
     ),
 )
@@ -106,7 +106,7 @@ def recorded_tips_bounded(spark, sf_dir):
     property_sql(
         _source("sensors", "sensor_id"), sql.pollution1("src", HOUR, CASE), N,
         "bool_and(level <> 'Warning') AS quiet, bool_or(level = 'Alert') AS alert",
-        "coalesce(quiet, true) AS quiet, coalesce(alert, false) AS alert", sql.until("quiet", "alert", 6, CASE), 12 * HOUR, start=T0,
+        "coalesce(quiet, true) AS quiet, coalesce(alert, false) AS alert", sql.until("quiet", "alert", 6, CASE), 12 * HOUR, start=T0, generated=False,
     ),
 )
 def recorded_quiet_until_alert(spark, sf_dir):
@@ -124,7 +124,7 @@ def recorded_quiet_until_alert(spark, sf_dir):
     property_sql(
         "SELECT o_custkey AS case_id, epoch_us(o_orderdate) // 1000 AS tms, o_totalprice AS price FROM orders",
         "SELECT * FROM src", N, "bool_and(price < 300000) AS good", "coalesce(good, true) AS good",
-        sql.always(sql.bit("good"), 8, CASE), 180 * DAY, start=ORDERS_START,
+        sql.always(sql.bit("good"), 8, CASE), 180 * DAY, start=ORDERS_START, generated=False,
         cases_sql="cases AS (SELECT DISTINCT o_custkey AS case_id FROM orders)",
     ),
 )
