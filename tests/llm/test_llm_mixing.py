@@ -23,7 +23,7 @@ def test_totals_match_targets(spark):
     rows, known = corpus()
     docs, table = documents(spark, rows), labels(spark, known)
     weights = {"clean": 0.8, "low": 0.15, "toxic": 0.05}
-    out = mixing.mixed(docs, table, weights).select("row.doc_id", "n", "p", "rate").collect()
+    out = mixing.mixed(docs, table, weights).select("doc_id", "n", "p", "rate").collect()
     there = [sum(r.n * r.p[d] for r in out) for d in range(3)]
     total = [sum(r.rate * r.n * r.p[d] for r in out) for d in range(3)]
     target = [there[0] * w / 0.8 for w in weights.values()]
