@@ -14,7 +14,7 @@ fingerprints, so a bucket of any size costs rows in proportion to its members.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,13 +144,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return linked.join(smallest, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = classes) -> DataFrame:
     """One row of ``docs``, all columns, for each near-duplicate group: that with the smallest ``doc_id``.
 
+    ``find`` gives the groups (``doc_id, rk, root``); by default they are those of the fingerprints.
     Rows without an id lose to rows with one; ties go to the smaller row key, and of repeated rows one
     is kept. Which document stays depends on ids and texts only.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")
-    chosen = classes(docs).groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.rk").alias("__rk"))
+    chosen = find(docs).groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.rk").alias("__rk"))
     kept = docs.withColumn("__rk", row_key()).join(materialised(chosen, "representatives"), "__rk", "left_semi")
     return kept.dropDuplicates(["__rk"]).drop("__rk")
