@@ -59,3 +59,19 @@ def test_step_moves_rates_against_the_error(spark):
     df = spark.createDataFrame([([1.0, 0.0, 0.0],), ([0.0, 0.5, 0.5],)], "p array<double>")
     got = [r[0] for r in df.select(mixing.rate(df.p, [[0.0, 1.0, 0.0], [-0.25, 2.0, 0.0]])).collect()]
     assert got == [1.25, 0.0]
+
+
+@pytest.mark.parametrize("toxic", [0.01, 0.035, 0.08, 0.2])
+def test_token_totals_of_selected_rows(spark, toxic):
+    """Whatever the incoming shares, the rows that leave have the target shares, cut neither at 0.5 nor at one use."""
+    n, low = 4000, 0.035 if toxic < 0.05 else 0.12
+    kinds = [2 if i < n * toxic else 1 if i < n * (toxic + low) else 0 for i in range(n)]
+    own = [["good"] * 3, ["junk"] * 3, ["scum"] * 3]
+    rows = [(i, " ".join(f"{own[k][0]}{(i + j) % 5}" for j in range(20))) for i, k in enumerate(kinds)]
+    known = [(i, 0 if k == 1 else 1, 1 if k == 2 else 0, "x") for i, k in enumerate(kinds)]
+    out = mixing.selected(documents(spark, rows), labels(spark, known)).select("doc_id").collect()
+    total = [sum(kinds[r.doc_id] == d for r in out) for d in range(3)]
+    clean = kinds.count(0)
+    for d, w in enumerate((0.91, 0.07, 0.02)):
+        want = clean * w / 0.91
+        assert abs(total[d] - want) <= 5 * want**0.5 + 0.01 * want, (d, total, want)

@@ -41,6 +41,7 @@ ROUNDS = 40
 # Added to the curvature when steps are scaled by its inverse; keeps steps bounded where targets conflict.
 RIDGE = 0.01
 TOLERANCE = 1e-3
+SEED = 17
 _EDGE = b".,;:!?\"'()"
 _MEMO_ROWS = 500_000
 
@@ -221,7 +222,19 @@ def rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return mixed(docs, labels).select("doc_id", F.col("n").cast("long").alias("n_tokens"), *p, "rate")
 
 
-def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose rate rounds to at least one use."""
-    unused = mixed(docs, labels).where("rate < 0.5").select(F.col("rk").alias("__rk")).distinct()
-    return docs.join(materialised(unused, "unused"), row_key() == F.col("__rk"), "left_anti")
+def uses(rate: Column, key: Column) -> Column:
+    """A whole number of uses whose mean is the rate: its floor, and one more for a seeded share of the keys."""
+    draw = F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
+
+
+def selected(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as its rate says.
+
+    A rate between whole numbers is rounded up or down by the row's key, so that token totals are the
+    targets on average over documents. A row with two uses is there twice; equal rows have equal uses.
+    """
+    counted = mixed(docs, labels, weights).select(F.col("rk").alias("__rk"), uses(F.col("rate"), F.col("rk")).alias("__uses"))
+    placed = docs.join(materialised(counted.where("__uses != 1").distinct(), "uses"), row_key() == F.col("__rk"), "left")
+    n = F.coalesce("__uses", F.lit(1).cast("long"))
+    return placed.where(n > 0).withColumn("__use", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*[docs[c] for c in docs.columns])
