@@ -10,6 +10,10 @@ MinHash at the scale that the classes need), and a document with too few shingle
 
 Candidates are verified by exact containment of the shingles themselves, as text. All steps are
 built-in columns.
+
+Defined case: an item of one to four words is one shingle of that length, which a document of five or
+more words does not have. Such an item is found only in documents that consist of exactly its words;
+that it stands inside a longer document does not count as a leak. ``LEAKS_SQL`` says the same.
 """
 
 from __future__ import annotations
