@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chats, decontamination, mixing, phrases, pii, quality, records, simhash, suffixes, warc
+from tidemark.llm import chats, decontamination, exact, mixing, phrases, pii, quality, records, simhash, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,3 +76,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_mixing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op13_exact_dedup", exact.GROUPS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.digest(_table(spark, sf_dir, "documents"))
