@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chats, conversations, decontamination, exact, mixing, phrases, pii, quality, records, simhash, suffixes, warc
+from tidemark.llm import chats, conversations, decontamination, exact, mixing, phrases, pii, quality, records, simhash, spelling, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query("op11_spelling", spelling.VARIANTS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(_table(spark, sf_dir, "documents"))
+
+
 @_query("op12_prefix_trie", conversations.NODES_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(_table(spark, sf_dir, "conversations"))
