@@ -6,8 +6,9 @@ Words that differ by one edit are found through their bigrams, in one order over
 - Its *pivots* are two bigrams of the prefix that do not overlap, the least frequent such pair, chosen by dynamic
   programming over positions. One edit leaves one of them whole.
 - So of two words one edit apart, a pivot of the one whose prefix ends earlier is in the other's prefix.
-  Pivots are joined with prefixes by gram, position and length: an edit moves a gram by at most as much as
-  it changes the length, which leaves five combinations, written out on the pivots' side as equal keys.
+  A single edit lies on one side of that gram, and the other side is equal: an equal left side fixes the
+  position, an equal right side moves it by as much as the lengths differ. Of the side with the edit, cut
+  in half, one half is equal too. So pivots are joined with prefixes by length, position, gram, equal side and equal half.
 
 Candidates are verified by edit distance in the join itself. A word then takes the form of its most
 frequent near word, if that is frequent enough, and forms are followed to their roots by pointer doubling.
@@ -33,8 +34,6 @@ MORE = 2
 RUN = r"[A-Za-zÀ-ÿ]+"
 SLIPS = 97
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# What one edit does to (length, position of a whole gram): replaced, inserted after or before it, deleted after or before it.
-_MOVES = [(0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1)]
 
 
 def runs(docs: DataFrame) -> DataFrame:
@@ -104,15 +103,30 @@ def one_edit_apart(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, EDITS) == 1
 
 
+def _met_at(length: Column) -> Column:
+    """Keys under which a whole gram of the word meets words of that length."""
+    left, right = F.substring("word", F.lit(1), F.col("place")), F.substring("word", F.col("place") + (GRAM + 1), F.col("length"))
+    # Place of the gram, if the right side is equal, and letters on the side with the edit, in the words it meets.
+    moved, after = F.col("place") + length - F.col("length"), length - F.col("place") - GRAM
+    half, rest = F.floor(after / 2).cast("int"), F.floor(moved / 2).cast("int")
+    same_left = [(F.lit(1), F.left(right, half)), (F.lit(2), F.right(right, after - half))]
+    same_right = [(F.lit(3), F.left(left, rest)), (F.lit(4), F.right(left, moved - rest))]
+    return F.array(
+        *[F.xxhash64(kind, length, "place", "gram", left, part) for kind, part in same_left],
+        *[F.xxhash64(kind, length, moved, "gram", right, part) for kind, part in same_right],
+    )
+
+
 def near(words: DataFrame) -> DataFrame:
     """``word, other, other_n``: every ordered pair of words one edit apart; input: distinct ``word, n``.
 
     Words have at least five code points.
     """
     index = materialised(entries(words), "grams")
-    moved = F.explode(F.array(*[F.struct((F.col("place") + p).alias("place"), (F.col("length") + d).alias("length")) for d, p in _MOVES])).alias("to")
-    side = index.where("pivot").select(F.col("word").alias("a"), F.col("n").alias("a_n"), "gram", moved).select("a", "a_n", "gram", "to.place", "to.length")
-    pairs = side.join(index.select("word", "n", "gram", "place", "length"), ["gram", "place", "length"]).where(one_edit_apart(F.col("a"), F.col("word")))
+    sought = F.flatten(F.array(*[_met_at(F.col("length") + d) for d in range(-EDITS, EDITS + 1)]))
+    side = index.where("pivot").select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.explode(sought).alias("key"))
+    met = index.select("word", "n", F.explode(_met_at(F.col("length"))).alias("key"))
+    pairs = side.join(met, "key").where(one_edit_apart(F.col("a"), F.col("word")))
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("word").alias("other"), F.col("n").alias("other_n")), F.struct("word", F.col("a").alias("other"), F.col("a_n").alias("other_n"))))
     return pairs.select(both.alias("x")).select("x.*").distinct()
 
