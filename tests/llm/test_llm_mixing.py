@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from llm_data import documents, edge_texts, labels
 
@@ -55,10 +56,48 @@ def test_edges(spark):
     assert mixing.rates(docs, labels(spark, only)).count() == len(rows)
 
 
-def test_step_moves_rates_against_the_error(spark):
-    df = spark.createDataFrame([([1.0, 0.0, 0.0],), ([0.0, 0.5, 0.5],)], "p array<double>")
-    got = [r[0] for r in df.select(mixing.rate(df.p, [[0.0, 1.0, 0.0], [-0.25, 2.0, 0.0]])).collect()]
-    assert got == [1.25, 0.0]
+def test_step_moves_rates_against_the_error():
+    p = np.array([[1.0, 0.0, 0.0], [0.0, 0.5, 0.5]])
+    assert mixing.rate(p, [([0.0, 1.0, 0.0], 0.0), ([-0.25, 2.0, 0.0], 0.0)]).tolist() == [1.25, 0.0]
+    assert mixing.rate(p, [([-9.0, 0.0, 0.0], 0.0), ([0.0, 0.0, 0.0], 0.5)]).tolist() == [2.5, 1.0]
+
+
+def bounded_least_squares(n, p, target, scale):
+    """Plain projected gradient on all rates at once, for very many rounds."""
+    a = (p * n[:, None]).T / scale[:, None]
+    r, words = np.ones(len(n)), n.sum()
+    size = 1 / np.linalg.eigvalsh((a / n) @ a.T).max()
+    for _ in range(30_000):
+        r = np.clip(r - size * ((a.T @ (a @ r - target / scale)) / n + mixing.PULL / words * (r - 1)), 0, mixing.MOST_USES)
+    return r
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fit_reaches_the_least_squares_optimum(spark, seed):
+    """Totals and objective against a plain solver, also where targets are out of reach or conflict."""
+    rng = np.random.default_rng(seed)
+    n = rng.integers(5, 400, 150).astype(float)
+    p = rng.dirichlet([(8, 1, 1), (1, 1, 1), (0.3, 0.05, 0.02), (5, 0.02, 0.3)][seed], 150)
+    table = spark.createDataFrame([(float(a), [float(x) for x in b]) for a, b in zip(n, p)], "n double, p array<double>").repartition(3)
+    fit = mixing.fit_rates(table)
+    r = mixing.rate(p, fit.steps)
+    assert r.min() >= 0 and r.max() <= mixing.MOST_USES
+    assert np.allclose((r * n) @ p, fit.totals)
+    scale = fit.wanted
+    value = lambda r: (((((r * n) @ p - fit.reachable) / scale) ** 2).sum() + mixing.PULL * (n @ (r - 1) ** 2) / n.sum()) / 2
+    best = bounded_least_squares(n, p, fit.reachable, scale)
+    assert value(r) <= value(best) + 2e-3
+
+
+def test_unreachable_targets_leave_other_documents_alone(spark):
+    """A domain of four per cent can not become thirty: it is used up to the bound, and nothing else is moved to make up."""
+    rows = [(i, " ".join(f"good{(i + j) % 5}" for j in range(20))) for i in range(2860)] + [(5000 + i, " ".join(f"junk{(i + j) % 5}" for j in range(20))) for i in range(140)]
+    known = [(i, 0 if i >= 5000 else 1, 0, "x") for i, _ in rows]
+    with pytest.warns(UserWarning, match="wanted shares"):
+        out = mixing.selected(documents(spark, rows), labels(spark, known), {"clean": 0.68, "low": 0.3, "toxic": 0.02}).groupBy("doc_id").count().collect()
+    times = {r["doc_id"]: r["count"] for r in out}
+    assert max(times.values()) <= mixing.MOST_USES
+    assert sum(i < 5000 for i in times) >= 2850 and sum(times.get(5000 + i, 0) for i in range(140)) >= 400
 
 
 @pytest.mark.parametrize("toxic", [0.01, 0.035, 0.08, 0.2])

@@ -1,20 +1,31 @@
 """Mixing documents to target domain weights with soft domain membership.
 
-A classifier that is trained on the label table gives every document a posterior over domains. Each
-document gets one nonnegative rate (how often it is used). With ``n`` the words of a document and ``p``
+A classifier that is trained on the label table gives every document a posterior over domains. A classifier that is trained on the label table gives every document a posterior over domains. Each
+document gets one nonnegative rate (how often it is used), at most ``MOST_USES``. With ``n`` the words of a document and ``p``
 its posterior, the expected tokens of domain *d* are the sum of ``rate * n * p[d]``; projected gradient
-descent moves the rates until these totals match the targets in the (relative) least-squares sense.
+descent moves the rates until these totals match the targets in the relative least-squares sense, with a
+small pull of every rate towards 1.
 
 The problem has one unknown per document and stays distributed: a round needs only the domain totals,
 one aggregation of a few numbers. In coordinates scaled by ``n`` a gradient step is
-``rate <- max(0, rate - step . p)`` with one small vector ``step`` for all documents, so the rates of
-any round are a column of the posterior and the steps so far. Only steps are kept on the driver.
+``rate <- clip(rate - step . p - pull * (rate - 1))`` with one small vector ``step`` for all documents, so the
+rates of any round are a function of the posterior and the steps so far. Only steps are kept on the driver.
+A round measures several steps at once and takes the best. The plain gradient step by the inverse of the
+largest curvature is one of them, so the objective falls in every round and the fit can not run away. The
+others speed it up: at the optimum the rates are ``clip(1 - m . p)``, a projected step from rate 1 whose
+vector ``m`` maximises a concave dual of a few variables, so the search also follows that dual by damped
+Newton steps, and a point of it becomes the iterate as soon as it has the lower objective.
+
+A target is *reachable* if raising every document towards ``MOST_USES`` in proportion to its posterior brings it
+about. Beyond that the noise of small posteriors would decide who is raised, so such a target is lowered to
+what is reachable, with a warning.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,10 +48,14 @@ MIN_DOCS = 20
 STEPS = 80
 REGULARISATION = 5.0
 RATE = 0.2
-ROUNDS = 40
-# Added to the curvature when steps are scaled by its inverse; keeps steps bounded where targets conflict.
-RIDGE = 0.01
-TOLERANCE = 1e-3
+# No document is used more often.
+MOST_USES = 4
+PULL = 1e-3
+# The fit ends when every total is within TOLERANCE of its target, or when IDLE rounds in a row lower the objective by
+# less than STANDSTILL of it.
+TOLERANCE, STANDSTILL, IDLE = 1e-3, 1e-3, 4
+# Shares of the largest curvature that are added to it, so that steps stay bounded where few rates are free.
+RIDGES = (0.0, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1)
 SEED = 17
 _EDGE = b".,;:!?\"'()"
 _MEMO_ROWS = 500_000
@@ -163,45 +178,133 @@ def posteriors(docs: DataFrame, model: Classifier | None) -> DataFrame:
     return map_arrow(rows, _posteriors(model), "doc_id long, rk long, n double, p array<double>")
 
 
-def rate(p: Column, steps: list[list[float]]) -> Column:
-    """The rate of a document with posterior ``p`` after the given gradient steps, from rate 1."""
-    r = F.lit(1.0)
-    for step in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.get(p, d) * F.lit(s) for d, s in enumerate(step)), F.lit(0.0)))
+Step = tuple[list[float], float]
+# Sums of a candidate: totals, distance, integral, curvature.
+WIDTH = len(DOMAINS) + 2 + len(DOMAINS) ** 2
+
+
+def rate(p: np.ndarray, steps: list[Step]) -> np.ndarray:
+    """The rates of documents with posteriors ``p`` after the given ``(step, pull)``, from rate 1."""
+    r = np.ones(len(p))
+    for step, pull in steps:
+        r = np.clip(r - p @ np.asarray(step) - pull * (r - 1), 0.0, MOST_USES)
     return r
 
 
-def fit_rates(table: DataFrame, weights: dict[str, float] = WEIGHTS) -> list[list[float]]:
-    """Steps of projected gradient descent on ``table(n, p)``.
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Words and posteriors of a batch of ``posteriors``."""
+    n = batch.column(batch.schema.get_field_index("n")).to_numpy(zero_copy_only=False)
+    return n, batch.column(batch.schema.get_field_index("p")).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(DOMAINS))
 
-    Errors are relative to a domain's tokens at rate 1, so that a rare domain counts as much as a
-    common one. A step is the gradient scaled by the inverse curvature over the documents whose rate is
-    not zero; totals and curvature are one aggregation of a dozen numbers. Stops when all totals are
-    within ``TOLERANCE`` or after ``ROUNDS``.
-    """
+
+def summed(n: np.ndarray, p: np.ndarray, steps: list[Step], candidates: list[Step]) -> np.ndarray:
+    """Per candidate: domain totals, squared distance of the rates from 1, the integral of the projection, and
+    the curvature over rates inside the bounds."""
+    before, found = rate(p, steps), []
+    for step, pull in candidates:
+        x = before - p @ np.asarray(step) - pull * (before - 1)
+        r = np.clip(x, 0.0, MOST_USES)
+        inside = (x > 0) & (x < MOST_USES)
+        q = p[inside]
+        found.append(np.concatenate([(r * n) @ p, [n @ (r - 1) ** 2, n @ (r * x - r * r / 2)], (q.T @ (q * n[inside][:, None])).ravel()]))
+    return np.array(found)
+
+
+def _sum_batches(steps: list[Step], candidates: list[Step]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = sum((summed(*_columns(batch), steps, candidates) for batch in batches), np.zeros((len(candidates), WIDTH)))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(candidates)), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.float64()))], ["candidate", "sums"])
+
+    return run
+
+
+@dataclass
+class Fit:
+    """Steps of the fit, wanted and reachable totals of the domains, and the totals that the rates give."""
+
+    steps: list[Step]
+    wanted: np.ndarray
+    reachable: np.ndarray
+    totals: np.ndarray
+
+    def error(self) -> float:
+        """Largest error of a total, relative to its wanted total."""
+        there = self.wanted > 0
+        return float(np.abs(self.totals - self.wanted)[there].max(initial=0.0) if not there.any() else (np.abs(self.totals - self.wanted)[there] / self.wanted[there]).max())
+
+
+def fit_rates(table: DataFrame, weights: dict[str, float] = WEIGHTS) -> Fit:
+    """Projected gradient descent on ``table(n, p)``, to a standstill or to ``TOLERANCE``."""
+    k = len(DOMAINS)
+
+    def measure(steps: list[Step], candidates: list[Step]) -> np.ndarray:
+        parts = map_arrow(table.select("n", "p"), _sum_batches(steps, candidates), "candidate int, sums array<double>")
+        rows = parts.groupBy("candidate").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(WIDTH)]).collect()
+        found = np.zeros((len(candidates), WIDTH))
+        for row in rows:
+            found[row[0]] = [float(x or 0.0) for x in row[1:]]
+        return found
+
+    own = [F.coalesce(F.sum(F.col("n") * F.get("p", F.lit(d)) * F.get("p", F.lit(d))), F.lit(0.0)) for d in range(k)]
+    return descend(measure, np.array([float(x) for x in table.agg(*own).first()]), np.array([weights[d] for d in DOMAINS]))
+
+
+def descend(measure: Callable[[list[Step], list[Step]], np.ndarray], sure: np.ndarray, weights: np.ndarray) -> Fit:
+    """The fit over what ``measure(steps, candidates)`` sums up; ``sure`` are a domain's tokens weighted by its posterior."""
     k = len(DOMAINS)
-    pairs = [(a, b) for a in range(k) for b in range(k)]
-
-    def measure(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        p = [F.get("p", F.lit(d)) for d in range(k)]
-        r = table.select(rate(F.col("p"), steps).alias("r"), F.col("n"), *[x.alias(f"p{d}") for d, x in enumerate(p)])
-        used = F.when(F.col("r") > 0, F.col("n")).otherwise(F.lit(0.0))
-        sums = [F.sum(F.col("r") * F.col("n") * F.col(f"p{d}")) for d in range(k)] + [F.sum(used * F.col(f"p{a}") * F.col(f"p{b}")) for a, b in pairs]
-        found = np.array([float(x or 0.0) for x in r.agg(*sums).first()])
-        return found[:k], found[k:].reshape(k, k)
-
-    now, curvature = measure([])
-    there = np.maximum(now, 1e-9)
-    target = now[0] * np.array([weights[d] for d in DOMAINS]) / weights[DOMAINS[0]]
-    steps: list[list[float]] = []
-    for _ in range(ROUNDS):
-        error = np.where(there > 1e-9, (now - target) / there, 0.0)
-        if np.abs(error).max() <= TOLERANCE:
-            break
-        scale = np.linalg.inv(curvature / there[:, None] + RIDGE * np.eye(k))
-        steps.append((scale @ error).tolist())
-        now, curvature = measure(steps)
-    return steps
+    nothing: Step = ([0.0] * k, 0.0)
+    at = measure([], [nothing])[0]
+    now, words = at[:k].copy(), at[:k].sum()
+    wanted = now[0] * weights / weights[0]
+    reachable = np.minimum(wanted, now + (MOST_USES - 1) * sure)
+    has_say = (now > 1e-9) & (wanted > 1e-9)
+    scale = np.where(has_say, np.maximum(wanted, 1e-9), np.inf)
+
+    def objective(x: np.ndarray) -> float:
+        value = float((((x[:k] - reachable) / scale) ** 2).sum() + PULL * x[k] / words) / 2
+        return value if np.isfinite(value) else np.inf
+
+    def curvature(x: np.ndarray) -> np.ndarray:
+        return x[k + 2 :].reshape(k, k) / np.outer(scale, scale)
+
+    def dual(x: np.ndarray, m: np.ndarray) -> float:
+        """What the best ``m`` maximises, in coordinates of ``m * scale``."""
+        held = np.where(has_say, scale, 0.0)
+        value = float(-x[k + 1] - (reachable * m).sum() - PULL / words / 2 * ((held * m) ** 2).sum())
+        return value if np.isfinite(value) else -np.inf
+
+    steps: list[Step] = []
+    if not has_say.any():
+        return Fit(steps, wanted, reachable, now)
+    largest = float(np.linalg.eigvalsh(curvature(at)).max()) + PULL / words
+    m, at_m, idle = np.zeros(k), at, 0
+    while True:
+        error = np.where(has_say, (at[:k] - reachable) / scale, 0.0)
+        if np.abs(error).max() <= TOLERANCE or idle == IDLE:
+            return Fit(steps, wanted, reachable, at[:k])
+        candidates: list[Step] = [((error / scale * size / largest).tolist(), size * PULL / words / largest) for size in (1.0, 10.0)]
+        slope = np.where(has_say, (at_m[:k] - reachable) / scale - PULL / words * scale * m, 0.0)
+        c = curvature(at_m) + PULL / words * np.eye(k)
+        moved = [m + size * np.linalg.solve(c + ridge * largest * np.eye(k), slope) / scale for ridge in RIDGES for size in (1.0, 0.3)]
+        candidates += [(x.tolist(), 1.0) for x in moved]
+        found = measure(steps, candidates)
+        best = min(range(len(candidates)), key=lambda i: objective(found[i]))
+        idle = 0 if objective(found[best]) < (1 - STANDSTILL) * objective(at) else idle + 1
+        values = [dual(x, y) for x, y in zip(found[2:], moved, strict=True)]
+        if max(values) > dual(at_m, m):
+            i = int(np.argmax(values))
+            m, at_m = moved[i], found[2 + i]
+        if objective(found[best]) < objective(at):
+            steps = [*([] if candidates[best][1] == 1.0 else steps), candidates[best]]
+            at = found[best]
+
+
+def _rated(steps: list[Step]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate(_columns(batch)[1], steps), pa.float64())], [*batch.schema.names, "rate"])
+
+    return run
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -209,11 +312,16 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHT
 
     NULL and empty texts have no words and do not move the totals; they get the rate their posterior
     implies. Repeated rows get equal rates. Without labels the posterior is uniform. A domain without
-    tokens has no say. Labels of unknown documents are ignored. Posteriors are written as a table once;
-    every round of the fit reads that.
+    tokens has no say. Labels of unknown documents are ignored. An empty table gives no rows. Posteriors are
+    written as a table once; every round of the fit reads that. Targets that can not be met within
+    ``MOST_USES`` are met as far as possible, with a warning that says by how much they are missed.
     """
     table = materialised(posteriors(docs, fit_classifier(docs, labels)), "posteriors")
-    return table.withColumn("rate", rate(F.col("p"), fit_rates(table, weights)))
+    fit = fit_rates(table, weights)
+    if fit.error() > 0.02:
+        share = lambda x: ", ".join(f"{d} {v:.3f}" for d, v in zip(DOMAINS, x / max(x.sum(), 1e-300), strict=True))
+        warnings.warn(f"mixing: wanted shares {share(fit.wanted)}; the documents give {share(fit.totals)} with at most {MOST_USES} uses each", stacklevel=2)
+    return map_arrow(table, _rated(fit.steps), "doc_id long, rk long, n double, p array<double>, rate double")
 
 
 def rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,12 +337,13 @@ def uses(rate: Column, key: Column) -> Column:
 
 
 def selected(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as its rate says.
+    """The rows of ``docs``, all columns, each as often as its rate says, and at most ``MOST_USES`` times.
 
     A rate between whole numbers is rounded up or down by the row's key, so that token totals are the
     targets on average over documents. A row with two uses is there twice; equal rows have equal uses.
     """
-    counted = mixed(docs, labels, weights).select(F.col("rk").alias("__rk"), uses(F.col("rate"), F.col("rk")).alias("__uses"))
-    placed = docs.join(materialised(counted.where("__uses != 1").distinct(), "uses"), row_key() == F.col("__rk"), "left")
-    n = F.coalesce("__uses", F.lit(1).cast("long"))
-    return placed.where(n > 0).withColumn("__use", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*[docs[c] for c in docs.columns])
+    counted = mixed(docs, labels, weights).select("rk", uses(F.col("rate"), F.col("rk")).alias("uses"))
+    others = materialised(counted.where("uses != 1").distinct(), "uses")
+    placed = docs.select(F.struct("*").alias("row"), row_key().alias("rk")).join(others, "rk", "left")
+    n = F.coalesce("uses", F.lit(1).cast("long"))
+    return placed.where(n > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), n))).select("row.*")
