@@ -213,19 +213,29 @@ _LEVEL_BY_COUNT = (
     "CASE WHEN over400 >= 3 THEN 'Alert' WHEN over200 >= 3 THEN 'Warning' WHEN over180 >= 3 THEN 'Notice' ELSE 'OK' END"
 )
 
-POLLUTION2_SQL = f"""
+def _pollution2_sql(size: int, slide: int) -> str:
+    return f"""
     WITH {sql.SENSORS}, means AS (
       SELECT w_end, sensor_id, avg(concentration) AS mean
-      FROM (SELECT *, {sql.sliding_ends(3 * HOUR, HOUR)} AS w_end FROM sensors) GROUP BY w_end, sensor_id)
+      FROM (SELECT *, {sql.sliding_ends(size, slide)} AS w_end FROM sensors) GROUP BY w_end, sensor_id)
     SELECT w_end, {_LEVEL_BY_COUNT} AS level FROM (SELECT w_end, {_OVER} FROM means GROUP BY w_end)
     """
 
 
+POLLUTION2_SQL = _pollution2_sql(3 * HOUR, HOUR)
+
+
 @query("pollution2", POLLUTION2_SQL)
 def pollution2(spark, sf_dir):
     return pollution.pollution2(sensors(spark, sf_dir), "3 hours", "1 hour").drop("ts")
 
 
+@query("pollution2_uneven", _pollution2_sql(5 * HOUR, 2 * HOUR))
+def pollution2_uneven(spark, sf_dir):
+    """The slide is no divisor of the size, so windows do not end at multiples of the slide."""
+    return pollution.pollution2(sensors(spark, sf_dir), "5 hours", "2 hours").drop("ts")
+
+
 @query(
     "sensor_window_mean",
     f"""

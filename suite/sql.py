@@ -26,7 +26,7 @@ def w_end(size: int, tms: str = "tms") -> str:
 
 def sliding_ends(size: int, slide: int, tms: str = "tms") -> str:
     """Ends of all epoch-aligned sliding windows with the row in them."""
-    return f"unnest(range(({tms} // {slide} + 1) * {slide}, ({tms} // {slide}) * {slide} + {size} + 1, {slide}))"
+    return f"unnest(range((({tms} - {size}) // {slide} + 1) * {slide} + {size}, ({tms} // {slide}) * {slide} + {size} + 1, {slide}))"
 
 
 def cols(names: Sequence[str]) -> str:

@@ -72,6 +72,13 @@ def test_sensor_window_mean(spark, sensor_files):
     assert rows(sensor_window_mean(df), "w_end", "concentration", "last_tms") == [(3000, 425.0, 2400), (4000, 425.0, 3400)]
 
 
+def test_window_ends_of_an_uneven_slide(spark, sensor_files):
+    df = read_sensors(spark, sensor_files["sensor2"])
+    levels = pollution2(df, "5 seconds", "2 seconds").collect()
+    assert sorted(r["w_end"] for r in levels) == [3000, 5000, 7000, 9000, 11000]
+    assert all(r["ts"].timestamp() * 1000 // 1 == r["w_end"] - 1 for r in levels)
+
+
 def test_nan_mean_is_over_no_limit(spark):
     df = spark.createDataFrame([(100, s, float("nan")) for s in range(5)], "tms BIGINT, sensor_id INT, concentration DOUBLE")
     df = df.withColumn("ts", F.timestamp_millis("tms"))

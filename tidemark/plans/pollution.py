@@ -36,7 +36,8 @@ def pollution2(
     means = sliding_aggregate(df, {"mean": mean(F.col("concentration"))}, size, slide, [*keys, "sensor_id"])
     counts = {name: F.count_if(exceeds(F.col("mean"), limit)) for name, limit in EMERGENCY_LIMITS}
     level = level_by_counts({name: F.col(name) for name in counts})
-    return window_aggregate(means, counts, slide, by=keys).select(*keys, "ts", "w_end", level.alias("level"))
+    # Times are in milliseconds, so the last one of a window's result holds nothing but that window, whatever size and slide are.
+    return window_aggregate(means, counts, "1 millisecond", by=keys).select(*keys, "ts", "w_end", level.alias("level"))
 
 
 def sensor_window_mean(df: DataFrame, slot: str = "1 second", keys: Sequence[str] = ()) -> DataFrame:
