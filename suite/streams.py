@@ -12,7 +12,8 @@ from suite import sql
 from suite.events import HOURLY_MAX_SQL, POLLUTION2_SQL, POLLUTION3_SQL, SIX_HOURS, shown_sensors
 from suite.formulas import BY, CASE_SQL, NO_ALERT, SENSOR_WORD, SOME_ALERT
 from suite.generated import QUARTER, cases
-from suite.registry import ORACLES, query
+from suite.registry import HOUR, ORACLES, query
+from tidemark.functions.timed import add_timestamp
 from tidemark.operators import generators as g
 from tidemark.operators.atoms import exists_element, foreach_element
 from tidemark.operators.letters import letters, word_ends
@@ -22,6 +23,7 @@ from tidemark.plans import harass, pollution, tips
 from tidemark.plans.properties import PROPERTIES
 from tidemark.plans.property import for_all_cases
 from tidemark.sources.tables import fares, incidents, sensors
+from tidemark.streaming.levels import level_changes
 from tidemark.streaming.monitor import complete_verdicts, monitor_always, monitor_eventually
 from tidemark.streaming.recorder import record_stream, record_with_timestamps, replay
 
@@ -187,3 +189,30 @@ def stream_property_cases(spark, sf_dir):
     """A property over generated cases with the pipeline under test run as a stream."""
     check = partial(for_all_cases, streaming=True)
     return PROPERTIES["prop_danger_never_safe_fails"](cases(spark, sf_dir), check)
+
+
+_SILENCE = 24 * HOUR
+
+
+@query(
+    "stream_level_changes",
+    f"""
+    WITH {sql.SENSORS}, p1 AS ({sql.pollution1()}),
+    steps AS (
+        SELECT *, lag(level) OVER w AS prev, lag(tms) OVER w AS prev_tms, lead(tms) OVER w AS next_tms
+        FROM p1 WINDOW w AS (PARTITION BY sensor_id ORDER BY tms)
+    ),
+    heard AS (SELECT *, CASE WHEN tms - prev_tms <= {_SILENCE} THEN prev END AS before FROM steps)
+    SELECT sensor_id, tms AS at, before, level FROM heard WHERE before IS DISTINCT FROM level
+    UNION ALL
+    SELECT sensor_id, tms + {_SILENCE}, level, NULL FROM steps
+    WHERE next_tms IS NULL OR next_tms - tms > {_SILENCE}
+    """,
+)
+def stream_level_changes(spark, sf_dir):
+    """A function with state and a timer: a row when a sensor's level changes or nothing comes for a day."""
+
+    def changes(stream: DataFrame) -> DataFrame:
+        return level_changes(add_timestamp(pollution.pollution1(stream, "1 hour")), _SILENCE, BY)
+
+    return record_stream(sensors(spark, sf_dir, streaming=True), changes, "changes")
