@@ -17,14 +17,14 @@ from tidemark.functions.timed import add_timestamp
 from tidemark.operators import generators as g
 from tidemark.operators.atoms import exists_element, foreach_element
 from tidemark.operators.letters import letters, word_ends
-from tidemark.operators.temporal import always, case_verdict, evaluate, now, until, with_verdict
+from tidemark.operators.temporal import Formula, always, case_verdict, evaluate, eventually, next_, now, until, with_verdict
 from tidemark.operators.windows import Windows
 from tidemark.plans import harass, pollution, tips
 from tidemark.plans.properties import PROPERTIES
 from tidemark.plans.property import for_all_cases
 from tidemark.sources.tables import fares, incidents, sensors
 from tidemark.streaming.levels import level_changes
-from tidemark.streaming.monitor import complete_verdicts, monitor_always, monitor_eventually
+from tidemark.streaming.monitor import complete_verdicts, monitor_always, monitor_eventually, monitor_formula
 from tidemark.streaming.recorder import record_stream, record_with_timestamps, replay
 
 
@@ -216,3 +216,38 @@ def stream_level_changes(spark, sf_dir):
         return level_changes(add_timestamp(pollution.pollution1(stream, "1 hour")), _SILENCE, BY)
 
     return record_stream(sensors(spark, sf_dir, streaming=True), changes, "changes")
+
+
+def _watched(spark, sf_dir, formula: Formula) -> DataFrame:
+    """Verdicts of a formula on the hourly levels of every sensor, told while the stream runs."""
+    atoms = [
+        foreach_element("all_ok", F.col("level") == "OK"),
+        exists_element("some_alert", F.col("level") == "Alert"),
+    ]
+
+    def verdicts(stream: DataFrame) -> DataFrame:
+        return monitor_formula(pollution.pollution1(stream, "1 hour"), formula, STRICT, atoms, BY)
+
+    return with_verdict(record_stream(sensors(spark, sf_dir, streaming=True), verdicts, "watched"))
+
+
+@query("stream_monitor_until", UNTIL_SQL)
+def stream_monitor_until(spark, sf_dir):
+    return _watched(spark, sf_dir, until(now("all_ok"), now("some_alert"), 4))
+
+
+_NEXT_OK = f"coalesce(lead({sql.bit('all_ok')}) OVER (PARTITION BY sensor_id ORDER BY idx), 0)"
+
+
+@query(
+    "stream_monitor_nested",
+    f"""
+    WITH {_OUTPUT_WORD}, inner_values AS (SELECT *, {sql.eventually(SOME_ALERT, 8, BY)} AS e, {_NEXT_OK} AS n FROM word)
+    SELECT sensor_id, idx, {sql.verdict(f"greatest({sql.always('e', 3, BY)}, -({SOME_ALERT}), n)")} AS verdict
+    FROM inner_values
+    """,
+)
+def stream_monitor_nested(spark, sf_dir):
+    """An alert is followed by a quiet letter, or alerts keep coming."""
+    alert = now("some_alert")
+    return _watched(spark, sf_dir, (alert >> next_(now("all_ok"))) | always(eventually(alert, 8), 3))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 
+from tidemark.session import ship_package
+
 Step = tuple[list[tuple], Any, int | None]
 
 STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
@@ -119,9 +121,11 @@ def process_keyed(
     """Stream of what ``function`` emits for the rows of every key ``by``, in the order of ``tms``.
 
     ``tms`` are epoch milliseconds of an event time on which the stream has a watermark. Rows without a key
-    or a time are dropped. Column names must not start with an underscore.
+    or a time are dropped. Column names must not start with an underscore. A function of your own must be
+    importable on the executors (``addPyFile``) or defined in the main script.
     """
     use_rocksdb(stream.sparkSession)
+    ship_package(stream.sparkSession)
     for column in [*by, tms]:
         stream = stream.where(stream[column].isNotNull())
     columns = [c.split()[0] for c in function.output.split(", ")]

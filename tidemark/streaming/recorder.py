@@ -13,7 +13,7 @@ instead of being incomplete.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ from tidemark.session import scratch_path
 from tidemark.sources.recordings import read_recorded, record_table
 
 END_OF_TIME = datetime(9000, 1, 1)
+# A timer at this time fires at the end of a bounded input only.
+END_OF_INPUT_MS = int(datetime(8999, 1, 1, tzinfo=timezone.utc).timestamp()) * 1000
 
 
 def ascending(stream: DataFrame, delay: str = "0 seconds", ts: str = "ts") -> DataFrame:
