@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,20 +87,3 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *columns)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, for functions that run in their Python."""
-    context = spark.sparkContext
-    if getattr(context, "_tidemark_shipped", False):
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="tidemark-code-"), "tidemark_code.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.join("tidemark", os.path.relpath(path, root)))
-    context.addPyFile(archive)
-    context._tidemark_shipped = True

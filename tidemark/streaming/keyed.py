@@ -9,15 +9,16 @@ in any order. What a key holds in a micro-batch is sorted by one task, so put wi
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 
-from tidemark.session import ship_package
-
 Step = tuple[list[tuple], Any, int | None]
 
 STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
@@ -115,20 +116,37 @@ def use_rocksdb(spark: SparkSession) -> None:
         spark.conf.set(STORE_CONF, ROCKSDB)
 
 
+@contextmanager
+def _with_code(function: KeyedFunction) -> Iterator[None]:
+    """Pickle a function with the code of its package while its plan is made.
+
+    Spark also loads it in a process on the driver that does not see files added with ``addPyFile``.
+    """
+    own = {__name__.split(".")[0], type(function).__module__.split(".")[0]}
+    known = cloudpickle.list_registry_pickle_by_value()
+    modules = [m for name, m in list(sys.modules.items()) if name.split(".")[0] in own and name not in known]
+    for module in modules:
+        cloudpickle.register_pickle_by_value(module)
+    try:
+        yield
+    finally:
+        for module in modules:
+            cloudpickle.unregister_pickle_by_value(module)
+
+
 def process_keyed(
     stream: DataFrame, function: KeyedFunction, by: Sequence[str], tms: str = "tms"
 ) -> DataFrame:
     """Stream of what ``function`` emits for the rows of every key ``by``, in the order of ``tms``.
 
     ``tms`` are epoch milliseconds of an event time on which the stream has a watermark. Rows without a key
-    or a time are dropped. Column names must not start with an underscore. A function of your own must be
-    importable on the executors (``addPyFile``) or defined in the main script.
+    or a time are dropped. Column names must not start with an underscore. The function travels
+    with the plan, with what it uses of its own package; executors need not have it installed.
     """
     use_rocksdb(stream.sparkSession)
-    ship_package(stream.sparkSession)
     for column in [*by, tms]:
         stream = stream.where(stream[column].isNotNull())
     columns = [c.split()[0] for c in function.output.split(", ")]
-    return stream.groupBy(*by).transformWithStateInPandas(
-        _Processor(function, columns, tms), function.output, "Append", "EventTime"
-    )
+    processor = _Processor(function, columns, tms)
+    with _with_code(function):
+        return stream.groupBy(*by).transformWithStateInPandas(processor, function.output, "Append", "EventTime")
