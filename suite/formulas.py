@@ -13,9 +13,10 @@ from suite.letters import BY, HOURLY, hourly_levels
 from suite.registry import DAY, HOUR, T0, query
 from tidemark.functions.levels import exceeds
 from tidemark.functions.timed import add_timestamp
-from tidemark.operators.atoms import exists_element, foreach_element
-from tidemark.operators.binding import bind_subset
+from tidemark.operators.atoms import aggregate, exists_element, foreach_element
+from tidemark.operators.binding import bind_reaches, bind_subset
 from tidemark.operators.letters import letters
+from tidemark.operators.sessions import GapWindows
 from tidemark.operators.temporal import (
     Formula,
     all_of,
@@ -36,7 +37,7 @@ from tidemark.plans.harass import harass_max
 from tidemark.plans.pollution import pollution1
 from tidemark.plans.property import Property, for_all_cases
 from tidemark.plans.tips import hourly_max
-from tidemark.sources.tables import fares, incidents, sensors
+from tidemark.sources.tables import events, fares, incidents, sensors
 
 
 def sensor_word(spark, sf_dir, *names: str) -> DataFrame:
@@ -282,3 +283,64 @@ def property_cases(spark, sf_dir):
     )
     subject = partial(pollution1, size="1 hour", keys=["case_id"])
     return for_all_cases(prop, source, subject, source, record=False)
+
+
+_REACHED = [
+    f"""LEFT JOIN (SELECT a.idx, true AS miss_{o} FROM tops a
+        LEFT JOIN tops b ON b.event_type = a.event_type AND b.idx = a.idx + {o}
+        GROUP BY a.idx HAVING NOT bool_and(coalesce(b.top >= a.top, false))) m{o} USING (idx)"""
+    for o in (1, 2, 3)
+]
+_REACHED_VALUES = ", ".join(
+    f"CASE WHEN idx + {o} > last_idx THEN 0 WHEN miss_{o} THEN -1 ELSE 1 END AS bound_{o}" for o in (1, 2, 3)
+)
+
+
+@query(
+    "bound_reaches_level",
+    f"""
+    WITH timed AS (SELECT *, epoch_us(ts) // 1000 AS tms FROM events),
+    i AS ({sql.side('timed', 'count(*) AS n')}), word AS ({sql.word(['i'], 'n')}),
+    tops AS (SELECT {sql.letter_index()} AS idx, event_type, max(value) AS top FROM timed GROUP BY ALL),
+    b AS (SELECT idx, last_idx, {_REACHED_VALUES} FROM word {' '.join(_REACHED)})
+    SELECT idx, bound_1, bound_2, bound_3,
+           {sql.verdict(sql.eventually('greatest(bound_1, bound_2, bound_3)', 2))} AS verdict FROM b
+    """,
+)
+def bound_reaches_level(spark, sf_dir):
+    """The highest value of every kind of event in a letter is reached by that kind in one of the next three."""
+    rows = add_timestamp(events(spark, sf_dir))
+    word = letters(SIX_HOURS, rows=(rows, []))
+    bound = bind_reaches(word, rows, rows, SIX_HOURS, ["event_type"], "value", (1, 2, 3))
+    formula = eventually(any_of(*[coded(f"bound_{o}") for o in (1, 2, 3)]), 2)
+    result = with_verdict(evaluate(bound, formula))
+    values = [F.col(f"bound_{o}").cast("int").alias(f"bound_{o}") for o in (1, 2, 3)]
+    return result.select("idx", *values, "verdict")
+
+
+_GAP = 36 * HOUR
+
+
+@query(
+    "discretize_by_gap",
+    f"""
+    WITH {sql.SENSORS},
+    marked AS (SELECT *, coalesce(tms - lag(tms) OVER w > {_GAP}, false) AS opens FROM sensors
+               WINDOW w AS (PARTITION BY sensor_id ORDER BY tms)),
+    numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY sensor_id ORDER BY tms) AS idx FROM marked),
+    word AS (SELECT sensor_id, idx::BIGINT AS idx, count(*) AS n_rows, min(tms) AS first_ms, max(tms) AS last_ms,
+             bool_or(concentration > 400) AS high FROM numbered GROUP BY ALL)
+    SELECT sensor_id, idx, n_rows, first_ms, last_ms, {sql.verdict(sql.eventually(sql.bit('high'), 2, BY))} AS verdict FROM word
+    """,
+)
+def discretize_by_gap(spark, sf_dir):
+    """Letters that end where a sensor is silent for a day and a half: is one of two in a row above 400?"""
+    rows = sensors(spark, sf_dir)
+    atoms = [
+        aggregate("first_ms", F.col("tms"), F.min),
+        aggregate("last_ms", F.col("tms"), F.max),
+        exists_element("high", exceeds(F.col("concentration"), 400.0)),
+    ]
+    word = letters(GapWindows(_GAP, ("sensor_id",)), BY, rows=(rows, atoms))
+    result = with_verdict(evaluate(word, eventually(now("high"), 2), BY))
+    return result.select("sensor_id", "idx", "n_rows", "first_ms", "last_ms", "verdict")
