@@ -83,17 +83,77 @@ def test_held_out_accuracy():
 def test_distant_repeats_share_a_label():
     """A token of unclear shape takes the label of its equal far away; without the edge it does not."""
     field = pii.Field(np.zeros((24, 5)), np.zeros((5, 5)), 3 * np.eye(5))
-    g = pii.graph(["id7 " + "word " * 50 + "id7 " + "word " * 50 + "id7", "id8"])
-    assert len(g.skip) == 2 and len(g.near) == 0
-    field.node[:, 2] = 0.0
+    g = pii.graph(["id70707 " + "word " * 50 + "id70707 " + "word " * 50 + "id70707", "id80808"])
+    assert len(g.skip) == 3 and len(g.near) == 0 and len(g.doc) == 5
     strong = np.zeros((4, 24))
     strong[0, 23] = 1.0
-    field.node[23, 2] = 6.0
+    field.node[23, 2] = 18.0  # a third of it is the first token's part
     g.shape = strong
     p = pii.marginals(g, field)
     assert p[1, 2] > 0.5 and p[2, 2] > 0.5 and abs(p[3, 2] - 0.2) < 1e-6
 
 
+def trained(texts):
+    g = pii.graph(texts)
+    return pii.train(g, pii.token_labels(g, [pii.base_spans(t) for t in texts]))
+
+
+def test_evidence_at_one_place_labels_every_repeat():
+    """Fifty repeats without the plus sign that the pattern asks for, and one with it, at either end or amid."""
+    texts = sample() + [f"call +4930{i:07d} or 4930{i:07d} now" for i in range(20)] + [f"order 4931{i:07d} came" for i in range(60)]
+    field = trained(texts)
+    plain, sure = "49308765432", "+49308765432"
+    for at in (0, 25, 50):
+        parts = [plain] * 50
+        parts.insert(at, sure)
+        text = (" word" * 30 + " ").join(parts)
+        base_ = pii.base_spans(text)
+        (added,) = pii.added_spans([text], [base_], field)
+        assert len(base_) == 1 and len(added) == 50 and {text[a:b] for a, _, b in added} == {plain} and {k for _, k, _ in added} == {3}
+    # A short token in a base span says nothing about its equals.
+    apart = "555 " + "word " * 9 + "+1 (826) 555 4081 " + "word " * 9 + "555 word 4081"
+    assert pii.base_spans(apart) == base(apart) != [] and pii.added_spans([apart], [base(apart)], field) == [[]]
+    # No evidence anywhere, or of another number: nothing.
+    alone = " word ".join([plain] * 50)
+    other = alone + " +49301111222"
+    assert pii.added_spans([alone, other], [pii.base_spans(t) for t in (alone, other)], field) == [[], []]
+
+
+def test_results_do_not_depend_on_the_other_documents_of_a_batch():
+    texts = [f"{'a ' * k}+4930{k:07d} b 4930{k:07d} {k}" for k in range(30)] + ["1 " * 500, ""]
+    field = trained(sample() + texts)
+    whole = pii.added_spans(texts, [pii.base_spans(t) for t in texts], field)
+    assert whole == [pii.added_spans([t], [pii.base_spans(t)], field)[0] for t in texts] and any(whole)
+
+
+def test_spans_against_exact_inference():
+    """On documents without a loop, spans are those of the exact distribution, summed over all labellings."""
+    field = trained(sample() + [f"call +4930{i:07d} or 4930{i:07d} now" for i in range(20)])
+    texts = ["see +493012345678 x 493012345678 y 493012345678", "a 493012345678 b 493012345678", "in 1999 3. and u1.x@mail1.example.com", "4930123456 and +4930123456 12"]
+    for text in texts:
+        base_ = pii.base_spans(text)
+        g = pii.graph([text])
+        known = pii.token_labels(g, [base_])
+        g = pii.without_chance(g, known)
+        n, nodes = len(g.shape), len(g.doc)
+        whose = [(k, h) for (k, h), short in zip(g.skip.tolist(), g.short.tolist()) if not short]
+        part = [1 / max(1, sum(h == q for k, q in whose if k == i for _, h in whose)) for i in range(n)]
+        joint = np.full((5,) * nodes, -np.inf)
+        for y in np.ndindex(*joint.shape):
+            if all(k == 0 or y[i] == k for i, k in enumerate(known)):
+                joint[y] = sum(part[i] * (g.shape[i] @ field.node)[y[i]] for i in range(n) if not known[i])
+                joint[y] += sum(field.near[y[a], y[b]] for a, b in g.near) + sum(field.skip[y[a], y[b]] for a, b in g.skip)
+        joint = np.exp(joint - joint.max())
+        joint /= joint.sum()
+        want = []
+        for i in range(n):
+            p = joint.sum(axis=tuple(k for k in range(nodes) if k != i))
+            assert np.allclose(pii.marginals(g, field, known)[i], p, atol=1e-6)
+            if not known[i] and p.argmax() and p.max() >= pii.CONFIDENCE:
+                want.append((int(g.start[i]), int(p.argmax()) - 1, int(g.end[i])))
+        assert pii.added_spans([text], [base_], field)[0] == want
+
+
 def test_marginals_are_exact_on_a_tree():
     rng = np.random.default_rng(1)
     field = pii.Field(rng.normal(size=(24, 5)), rng.normal(size=(5, 5)), np.zeros((5, 5)))
