@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from llm_data import documents, edge_texts, words
 
 from tidemark.llm import phrases, recurring, suffixes
@@ -58,6 +60,49 @@ def test_bytes_against_plain_python(spark):
         assert sorted(map(tuple, suffixes.digest(documents(spark, rows)).collect()), key=str) == byte_repeats(rows)
 
 
+def test_hot_anchors_change_no_result(spark, monkeypatch):
+    """All recurring anchors hot, or only those of many runs."""
+    rows = edge_texts()
+    for most in (0, 3):
+        monkeypatch.setattr(recurring, "HOT_RUNS", most)
+        assert sorted(map(tuple, phrases.digest(documents(spark, rows)).collect()), key=str) == word_repeats(rows)
+        assert sorted(map(tuple, suffixes.digest(documents(spark, rows)).collect()), key=str) == byte_repeats(rows)
+
+
+@pytest.mark.parametrize("operator", [phrases, suffixes])
+def test_one_line_in_a_third_of_all_documents_fills_no_shard(operator, monkeypatch):
+    """Largest shard against the median, at two sizes: surroundings are random, so edges are all distinct."""
+    monkeypatch.setattr(recurring, "HOT_RUNS", 50)
+    rng = random.Random(5)
+    line = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    shards, blocks = 16, 4
+    for n in (600, 2400):
+        def around():
+            return " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))
+        rows = [(i, f"{around()} {line if i % 3 == 0 else ''} {around()}") for i in range(n)]
+        tables = []
+        for b in range(blocks):
+            mine = [r for r in rows if r[0] % blocks == b]
+            tables.append(pa.table({"block": pa.array([b] * len(mine), pa.int32()), "doc_id": pa.array([i for i, _ in mine], pa.int64()), "text": pa.array([t for _, t in mine])}))
+        parts = [operator._anchors(t) for t in tables]
+        _, fp = recurring.shard_of(np.concatenate([h for h, _ in parts]), shards)
+        shard, _ = recurring.shard_of(np.concatenate([h for h, _ in parts]), shards)
+        key, count = np.unique(shard << 31 | fp, return_counts=True)
+        several = key[count > 1]
+        answers = []
+        for s in range(shards):
+            of = several[several >> 31 == s]
+            values = (of & ((1 << 31) - 1)).astype(np.uint32)
+            hot = count[np.searchsorted(key, of)] > recurring.HOT_RUNS
+            answers.append((s, 0, recurring.pack(np.diff(values, prepend=np.uint32(0)), hot)))
+        wanted = recurring.messages(answers)
+        size = np.zeros(shards, np.int64)
+        for t in tables:
+            for row in operator._send_segments(shards)(None, t, wanted).to_pylist():
+                size[row["shard"]] += len(recurring.unpack(row["data"])[0])
+        assert size.max() <= 4 * np.median(size), (n, size.tolist())
+
+
 def test_empty_table(spark):
     assert phrases.digest(documents(spark, [])).count() == 0
     assert suffixes.digest(documents(spark, [])).count() == 0
@@ -65,8 +110,6 @@ def test_empty_table(spark):
 
 def test_pieces_of_a_long_text(monkeypatch):
     """Cutting a text into pieces changes segments, never results."""
-    import pyarrow as pa
-
     rows = [(i, t) for i, t in edge_texts() if i is not None]
     table = pa.table({"block": pa.array([0] * len(rows), pa.int32()), "doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t or "" for _, t in rows])})
     want = byte_repeats(rows)

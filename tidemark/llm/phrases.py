@@ -88,13 +88,17 @@ def _send_segments(shards: int):
         want = Wanted(wanted, shards)
         found: dict[bytes, list] = {}  # segment -> anchor, smallest and largest id
         for h, ids, words, first, end in _segments(docs):
+            hot = want.hot(h)
             for k in np.flatnonzero(want(h)).tolist():
-                segment, doc = b" ".join(words[first[k] : end[k]]), int(ids[k])
-                entry = found.get(segment)
-                if entry is None:
-                    found[segment] = [int(h[k]), doc, doc]
-                else:
-                    entry[1], entry[2] = min(entry[1], doc), max(entry[2], doc)
+                doc, a, b = int(ids[k]), int(first[k]), int(end[k])
+                # A hot anchor's windows go one by one, each to the shard of its own hash.
+                for a, b in [(i, i + WINDOW) for i in range(a, b - WINDOW + 1)] if hot[k] else [(a, b)]:
+                    segment = b" ".join(words[a:b])
+                    entry = found.get(segment)
+                    if entry is None:
+                        found[segment] = [xxhash.xxh64_intdigest(segment) if hot[k] else int(h[k]), doc, doc]
+                    else:
+                        entry[1], entry[2] = min(entry[1], doc), max(entry[2], doc)
         texts = list(found)
         rows = np.array([e[1:] for e in found.values()], np.int64).reshape(-1, 2)
         shard, _ = recurring.shard_of(np.array([e[0] for e in found.values()], np.uint64), shards)

@@ -11,9 +11,13 @@ id of a document that has the same window. Shuffling every window would cost man
    as *segments* (the bytes they span) to the anchor's shard, equal ones of a block once; the shard finds
    out exactly which windows recur, and answers each block.
 
+Over the edges of a passage that a third of all documents share, windows name anchors inside the passage
+but carry words of their own document, so such an anchor has a segment per document. Anchors with more
+than HOT_RUNS runs are *hot*: each window of theirs is a segment of its own and goes to the shard that its
+own hash names. Equal windows still meet, and all shards get a part.
+
 Hashes only decide where things meet; shards compare the text itself. Blocks and shards are bounded units
-of work whose numbers grow with the input. A passage in a third of all documents costs a shard one
-segment per block, not one per document.
+of work whose numbers grow with the input. Inside a passage a block sends a segment once.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from tidemark.llm.common import MB, partitions_for, ship
 BLOCK_MB = 6
 # Anchors in a shard at most (about), so that 31 bits tell them apart well and they fit in memory.
 SHARD_ANCHORS = 2_000_000
+# Runs of windows with one anchor, over all blocks, from which on the anchor is hot.
+HOT_RUNS = 10_000
 _FP_BITS = 31
 _CODEC = pa.Codec("zstd", compression_level=3)
 PIECE = 1 << 20
@@ -104,6 +110,15 @@ def runs(anchor: np.ndarray, owner: np.ndarray, longest: int) -> tuple[np.ndarra
     return heads[keep], tails[keep]
 
 
+def split_hot(heads: np.ndarray, tails: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs, of which those marked hot are cut into single windows."""
+    if not hot.any():
+        return heads, tails
+    n = np.where(hot, tails - heads + 1, 1)
+    start = np.repeat(heads, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return start, np.where(np.repeat(hot, n), start, np.repeat(tails, n))
+
+
 def shard_of(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Shard and 31-bit fingerprint of anchor hashes."""
     return ((h >> np.uint64(_FP_BITS)) % np.uint64(shards)).astype(np.int64), (h & np.uint64((1 << _FP_BITS) - 1)).astype(np.uint32)
@@ -159,10 +174,11 @@ def messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 
 def recurring_anchors(docs: DataFrame, anchors: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], shards: int) -> DataFrame:
-    """Messages to blocks with the anchors of theirs that at least two documents have.
+    """Messages to blocks with the anchors of theirs that at least two documents have, and which are hot.
 
     ``anchors`` gives hash and document id of every run of windows of a block.
     """
+    hot_runs = HOT_RUNS
     ship(docs.sparkSession)
 
     def send(table: pa.Table) -> pa.Table:
@@ -174,12 +190,18 @@ def recurring_anchors(docs: DataFrame, anchors: Callable[[pa.Table], tuple[np.nd
         several = np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads) if len(h) else np.zeros(0, bool)
         shard, fp = shard_of(h[heads], shards)
         value = fp << np.uint32(1) | several
-        return messages([(s, block, pack_sorted(np.sort(value[at]))) for s, at in by_shard(shard)])
+        count = np.diff(np.append(heads, len(h))).astype(np.uint32)
+        rows = []
+        for s, at in by_shard(shard):
+            at = at[np.argsort(value[at], kind="stable")]
+            rows.append((s, block, pack(np.diff(value[at], prepend=np.uint32(0)), count[at])))
+        return messages(rows)
 
     def answer(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         blocks = table.column("block").to_pylist()
-        sent = [unpack_sorted(x.as_py()) for x in table.column("data")]
+        parts = [unpack(x.as_py()) for x in table.column("data")]
+        sent = [np.cumsum(v, dtype=v.dtype) for v, _ in parts]
         # Values of one block that share a fingerprint stay several entries: rare, and only more candidates.
         fps = np.concatenate([v >> np.uint32(1) for v in sent])
         order = np.argsort(fps, kind="stable")
@@ -188,29 +210,48 @@ def recurring_anchors(docs: DataFrame, anchors: Callable[[pa.Table], tuple[np.nd
         shared = np.zeros(len(fps), bool)
         shared[order] = same | np.append(False, same[:-1])
         shared |= np.concatenate([v & np.uint32(1) for v in sent]).astype(bool)
+        first = np.flatnonzero(~np.append(False, same[:-1]))
+        count = np.concatenate([c for _, c in parts])[order].astype(np.int64)
+        hot = np.empty(len(fps), bool)
+        hot[order] = np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(fps)))) > hot_runs
         rows, at = [], 0
         for block, v in zip(blocks, sent, strict=True):
             keep = shared[at : at + len(v)]
-            at += len(v)
             if keep.any():
-                rows.append((shard, block, pack_sorted(v[keep] >> np.uint32(1))))
+                rows.append((shard, block, pack(np.diff(v[keep] >> np.uint32(1), prepend=np.uint32(0)), hot[at : at + len(v)][keep])))
+            at += len(v)
         return messages(rows)
 
     return docs.groupBy("block").applyInArrow(send, MESSAGE).groupBy("shard").applyInArrow(answer, MESSAGE)
 
 
+def among(keys: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """Which of ``sought`` are in ``keys``, which are in ascending order."""
+    if not len(keys):
+        return np.zeros(len(sought), bool)
+    at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+    return keys[at] == sought
+
+
 class Wanted:
     """The recurring anchors of a block, from the messages to it."""
 
     def __init__(self, table: pa.Table, shards: int):
         self.shards = shards
-        keys = [np.uint64(s) << np.uint64(32) | unpack_sorted(d.as_py()).astype(np.uint64) for s, d in zip(table.column("shard").to_pylist(), table.column("data"), strict=True)]
-        self.keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        keys, hot = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for s, data in zip(table.column("shard").to_pylist(), table.column("data"), strict=True):
+            steps, *flags = unpack(data.as_py())
+            key = np.uint64(s) << np.uint64(32) | np.cumsum(steps, dtype=steps.dtype).astype(np.uint64)
+            keys.append(key)
+            hot += [key[f] for f in flags]
+        self.keys, self.hot_keys = np.sort(np.concatenate(keys)), np.sort(np.concatenate(hot))
+
+    def _key(self, h: np.ndarray) -> np.ndarray:
+        shard, fp = shard_of(h, self.shards)
+        return shard.astype(np.uint64) << np.uint64(32) | fp.astype(np.uint64)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        shard, fp = shard_of(h, self.shards)
-        key = shard.astype(np.uint64) << np.uint64(32) | fp.astype(np.uint64)
-        if not len(self.keys):
-            return np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return self.keys[at] == key
+        return among(self.keys, self._key(h))
+
+    def hot(self, h: np.ndarray) -> np.ndarray:
+        return among(self.hot_keys, self._key(h)) if len(self.hot_keys) else np.zeros(len(h), bool)

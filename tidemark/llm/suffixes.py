@@ -16,7 +16,7 @@ the first document of each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +45,11 @@ class Block:
         self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
         self.starts = self.ends - [len(t) for t in texts]
 
-    def segments(self, keyed: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def segments(self, keyed: bool = True, hot: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Anchor, document, first byte, end byte and key of the segments of each piece.
 
         Long documents are cut at fixed distances from their start, so the segments of a document do not
-        depend on the documents around it.
+        depend on the documents around it. Windows of anchors that ``hot`` names are segments of their own.
         """
         pieces = [(i, lo, min(lo + recurring.PIECE, end - WINDOW + 1)) for i, (start, end) in enumerate(zip(self.starts.tolist(), self.ends.tolist(), strict=True)) for lo in range(start, end - WINDOW + 1, recurring.PIECE)]
         at = 0
@@ -65,6 +65,8 @@ class Block:
             for k in range(at, to):
                 owner[pieces[k][1] - lo : pieces[k][2] - lo] = k
             heads, tails = recurring.runs(anchor, owner, GRAMS)
+            if hot is not None:
+                heads, tails = recurring.split_hot(heads, tails, hot(anchor[heads]))
             doc = np.array([p[0] for p in pieces[at:to]], np.int64)[owner[heads] - at]
             window = recurring.gram_hashes(part, WINDOW) if keyed else None
             keys = _keys(window[heads], window[tails], tails - heads) if keyed else None
@@ -83,29 +85,36 @@ def _anchors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([h for h, _ in parts]), np.concatenate([i for _, i in parts])) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def _distinct(keys: np.ndarray, low: np.ndarray, high: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One of the segments of each key, in order of the keys, with the smallest ``low`` and largest ``high``."""
+    if not len(keys):
+        return keys, low, high, *others
+    order = np.argsort(keys, kind="stable")
+    heads = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
+    one = order[heads]
+    return keys[one], np.minimum.reduceat(low[order], heads), np.maximum.reduceat(high[order], heads), *(c[one] for c in others)
+
+
 def _send_segments(shards: int):
     def send(key, docs: pa.Table, wanted: pa.Table) -> pa.Table:
         if not docs.num_rows or not wanted.num_rows:
             return messages([])
         number = docs.column("block")[0].as_py()
         want, block, parts = Wanted(wanted, shards), Block(docs), []
-        for h, doc, first, end, keys in block.segments():
+        for h, doc, first, end, keys in block.segments(hot=want.hot):
             keep = want(h)
-            parts.append((h[keep], block.ids[doc[keep]], first[keep], end[keep], keys[keep]))
-        h, ids, first, end, keys = (np.concatenate(c) for c in zip(*parts, strict=True))
+            owner = block.ids[doc[keep]]
+            parts.append(_distinct(keys[keep], owner, owner, h[keep], first[keep], end[keep]))
+        keys, low, high, h, first, end = _distinct(*(np.concatenate(c) for c in zip(*parts, strict=True)))
         if not len(h):
             return messages([])
-        order = np.argsort(keys, kind="stable")
-        heads = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
-        low, high = np.minimum.reduceat(ids[order], heads), np.maximum.reduceat(ids[order], heads)
-        one = order[heads]
-        shard, _ = recurring.shard_of(h[one], shards)
+        hot = want.hot(h)
+        shard, _ = recurring.shard_of(np.where(hot, recurring.mixed(keys), h), shards)
         view = memoryview(block.flat)
         rows = []
         for s, at in by_shard(shard):
-            spans = one[at]
-            text = b"".join([view[a:b] for a, b in zip(first[spans].tolist(), end[spans].tolist(), strict=True)])
-            rows.append((s, number, pack(np.frombuffer(text, np.uint8), (end[spans] - first[spans]).astype(np.uint8), low[at], high[at])))
+            text = b"".join([view[a:b] for a, b in zip(first[at].tolist(), end[at].tolist(), strict=True)])
+            rows.append((s, number, pack(np.frombuffer(text, np.uint8), (end[at] - first[at]).astype(np.uint8), low[at], high[at], np.unique(h[at][hot[at]]))))
         return messages(rows)
 
     return send
@@ -220,10 +229,10 @@ def _confirm(table: pa.Table) -> pa.Table:
     known: dict[bytes, int] = {}
     sent, lows, highs, which = [], [], [], []
     for block, data in zip(table.column("block").to_pylist(), table.column("data"), strict=True):
-        text, lengths, low, high = unpack(data.as_py())
+        text, lengths, low, high, hot = unpack(data.as_py())
         view, ends = text.tobytes(), np.cumsum(lengths, dtype=np.int64).tolist()
         mine = np.array([known.setdefault(view[a:b], len(known)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64)
-        sent.append((block, mine, high))
+        sent.append((block, mine, high, hot))
         which.append(mine)
         lows.append(low)
         highs.append(high)
@@ -254,14 +263,14 @@ def _confirm(table: pa.Table) -> pa.Table:
     begin = np.searchsorted(run_segment, np.arange(len(lengths)))
     count = np.searchsorted(run_segment, np.arange(len(lengths)), side="right") - begin
     rows = []
-    for block, mine, high in sent:
+    for block, mine, high, hot in sent:
         n = count[mine]
         run = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         run = run[run_first[run] < np.repeat(high, n)]
         if len(run):
             key = keys[run_segment[run]]
             o = np.argsort(key, kind="stable")
-            rows.append((shard, block, pack(key[o], run_lo[run][o].astype(np.uint8), run_hi[run][o].astype(np.uint8), run_first[run][o])))
+            rows.append((shard, block, pack(key[o], run_lo[run][o].astype(np.uint8), run_hi[run][o].astype(np.uint8), run_first[run][o], hot)))
     return messages(rows)
 
 
@@ -269,10 +278,11 @@ def _remove(key, docs: pa.Table, found: pa.Table) -> pa.Table:
     block = Block(docs)
     edge = np.zeros(len(block.flat) + 1, np.int32)
     if found.num_rows:
-        keys, lo, hi, first = (np.concatenate(c) for c in zip(*[unpack(d.as_py()) for d in found.column("data")], strict=True))
+        keys, lo, hi, first, hot = (np.concatenate(c) for c in zip(*[unpack(d.as_py()) for d in found.column("data")], strict=True))
         o = np.argsort(keys, kind="stable")
         keys, lo, hi, first = keys[o], lo[o].astype(np.int64), hi[o].astype(np.int64), first[o]
-        for _, doc, start, _, own in block.segments():
+        hot = np.unique(hot)  # the shards return the hot anchors of what they were sent
+        for _, doc, start, _, own in block.segments(hot=lambda h: recurring.among(hot, h)):
             a, b = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
             n = b - a
             run = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
