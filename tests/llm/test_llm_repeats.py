@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from llm_data import documents, edge_texts, words
 
-from tidemark.llm import phrases, recurring, suffixes
+from tidemark.llm import common, phrases, recurring, suffixes
 
 
 def word_repeats(rows, n=13):
@@ -158,6 +158,14 @@ def test_automaton_finds_every_occurrence():
     assert list(machine.find([b"z"] * 20)) == []
 
 
+def test_blocks_of_a_table_of_unknown_size(spark, monkeypatch):
+    monkeypatch.setattr(common, "input_bytes", lambda df: 1 << 62)
+    docs = documents(spark, [(i, "x" * 1000) for i in range(50)] + [(None, None)])
+    assert common.partitions_for(docs, 0.001, at_least=2) == 24  # 50,000 bytes, taken as half in Parquet
+    assert common.partitions_for(docs.select("doc_id"), 0.001, at_least=2) == 2
+    assert common.partitions_for(docs.where("doc_id < 0"), 0.001, at_least=2) == 2
+
+
 def test_packing():
     values = np.array([3, 3, 9, 2**32 - 1], np.uint32)
     assert recurring.unpack_sorted(recurring.pack_sorted(values)).tolist() == values.tolist()
