@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from suite import sql
 from suite.events import SIX_HOURS, alert_rows
-from suite.registry import HOUR, T0, query
+from suite.registry import DAY, HOUR, T0, query
 from tidemark.functions.timed import add_timestamp
 from tidemark.operators.atoms import (
     aggregate,
@@ -23,6 +23,7 @@ from tidemark.operators.atoms import (
     mean_value,
 )
 from tidemark.operators.letters import letters
+from tidemark.operators.order_statistics import letter_percentile, window_median
 from tidemark.operators.reports import failing_examples, subset_examples, window_head
 from tidemark.operators.sets import missing_per_letter
 from tidemark.operators.temporal import always, evaluate, now, with_verdict
@@ -267,6 +268,33 @@ def window_head_query(spark, sf_dir):
     return head.select("idx", "n_rows", "rank", "event_id")
 
 
+# -- order statistics: functions of a whole window that do not merge -------------------------------
+
+
+@query(
+    "window_median",
+    f"""
+    WITH {sql.SENSORS}
+    SELECT w_end, sensor_id, count(*) AS n_rows, median(concentration) AS median
+    FROM (SELECT *, {sql.w_end(DAY)} AS w_end FROM sensors) GROUP BY w_end, sensor_id
+    """,
+)
+def window_median_query(spark, sf_dir):
+    return window_median(sensors(spark, sf_dir), "concentration", "1 day", by=["sensor_id"]).drop("ts")
+
+
+@query(
+    "letter_percentile",
+    f"""
+    WITH {sql.SENSORS}
+    SELECT idx, count(*) AS n_rows, quantile_disc(concentration, 0.75) AS percentile
+    FROM (SELECT *, {sql.letter_index()} AS idx FROM sensors) GROUP BY idx
+    """,
+)
+def letter_percentile_query(spark, sf_dir):
+    return letter_percentile(sensors(spark, sf_dir), SIX_HOURS, "concentration", 0.75)
+
+
 # -- windows with gaps: letters whose only rows lie in the gap after them are empty ----------------
 
 NARROW, APART = 2 * HOUR, 12 * HOUR
