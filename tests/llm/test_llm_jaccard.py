@@ -5,8 +5,9 @@ import corpus_pipeline
 import pytest
 from llm_data import documents, edge_texts
 from oracle import TESTDATA
+from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard
+from tidemark.llm import jaccard, simhash
 
 
 def shingle_set(text):
@@ -107,3 +108,41 @@ def test_given_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").select("doc_id", "text").where("doc_id IS NOT NULL").orderBy("doc_id").collect()][:800]
     first = groups([t for _, t in rows])
     assert kept_by(spark, rows) == sorted({rows[g][0] for g in first})
+
+
+def test_fingerprints_link_what_shares_no_band(spark, monkeypatch):
+    """The stage begins with the covering tables, and the exact check decides what they bring together."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    texts = []
+    for changes in range(8):
+        base = fresh(1500)
+        texts.append(" ".join(base))
+        for at in rng.sample(range(1500), changes):
+            base[at] = fresh(1)[0]
+        texts.append(" ".join(base))
+    texts += ["two unlike", "short texts", "", None]
+    rows = list(enumerate(texts))
+    prints = [simhash.fingerprint_of(jaccard.shingles(t)) for t in texts]
+    close = [bin((prints[i] ^ prints[i + 1]) & (2**64 - 1)).count("1") <= 2 for i in range(0, 16, 2)]
+    assert 2 <= sum(close[1:]) < 7 and close[0]  # some near copies are within two bits, some are not
+
+    found = jaccard.signatures
+
+    def apart(docs):
+        """No text shares a band with another; two unlike ones have one fingerprint."""
+        mark = F.array(F.col("node"), F.col("node") + 1)
+        return found(docs).withColumn("bands", mark).withColumn("fp", F.when(F.col("doc_id").isin(16, 17), 0).otherwise(F.col("fp")))
+
+    monkeypatch.setattr(jaccard, "signatures", apart)
+    kept = kept_by(spark, rows)
+    assert kept == sorted([*range(0, 16, 2), *(2 * k + 1 for k in range(8) if not close[k]), 16, 17, 18])
+
+
+def test_fingerprint_pairs_are_linear(spark):
+    sizes = {0: 5, 1: 7, 3: 9}
+    nodes = [(1000 * fp + i, n, fp) for fp, n in sizes.items() for i in range(n)] + [(7, 9, 1 << 40), (8, 9, -1)]
+    pairs = {(r.a, r.b) for r in jaccard.fingerprint_pairs(spark.createDataFrame(nodes, "node long, size long, fp long")).collect()}
+    own = {(1000 * fp + i, 1000 * fp) for fp, n in sizes.items() for i in range(1, n)}
+    assert own <= pairs and {frozenset(p) for p in pairs - own} <= {frozenset(p) for p in [(0, 1000), (0, 3000), (1000, 3000), (0, 7), (7, 1000)]}
+    assert {(7, 0)} <= pairs and not any(8 in p for p in pairs)

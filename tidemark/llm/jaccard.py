@@ -1,10 +1,14 @@
 """Near duplicates by the Jaccard similarity of word shingles.
 
 Two texts are near copies if their sets of five-word shingles (lower-cased ASCII, one shorter shingle for
-a text of fewer words) have a similarity of 0.8 or more. Candidates meet in the bands of a MinHash
-signature: 48 bands of five minima, so that a pair at exactly 0.8 shares no band with probability
-(1 - 0.8^5)^48 = 5e-9. Every candidate pair that matters is verified on the whole sets; texts with equal
-sets are one node from the start.
+a text of fewer words) have a similarity of 0.8 or more. Every candidate pair that matters is verified on
+the whole sets; texts with equal sets are one node from the start.
+
+The search begins with SimHash: a set has the 64-bit fingerprint of its shingles, the covering tables of
+``simhash.py`` bring together all fingerprints within two bits, and what the exact check confirms is linked.
+Near copies at the threshold differ in about ten bits, more than covering tables can span, so the links
+still missing are sought in the bands of a MinHash signature: 48 bands of five minima, so that a pair at
+exactly 0.8 shares no band with probability (1 - 0.8^5)^48 = 5e-9.
 
 Only components are wanted, so pairs whose ends are linked already need no check. Large groups are joined
 first: in every band bucket over several components, each member is checked against one hub, which is linear.
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow, materialised, row_key
-from tidemark.llm.simhash import components
+from tidemark.llm.simhash import close_pairs, components, fingerprint_of
 
 SHINGLE = 5
 # The least similarity, as a fraction.
@@ -70,14 +74,21 @@ def _node(hashes: np.ndarray) -> int:
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, prints, keys = [], [], [], []
         for text in batch.column(2):
             h = shingles(text.as_py())
             nodes.append(_node(h))
             sizes.append(len(h))
+            prints.append(fingerprint_of(h))
             keys.append(bands(h) if len(h) else h.view(np.int64))
-        columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "rk", "node", "size", "bands"])
+        columns = [*(pa.array(x, pa.int64()) for x in (nodes, sizes, prints)), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "rk", "node", "size", "fp", "bands"])
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """``doc_id, rk, node, size, fp, bands``: one row per document; all but the first two are the set's."""
+    schema = "doc_id long, rk long, node long, size long, fp long, bands array<long>"
+    return map_arrow(docs.select("doc_id", row_key().alias("rk"), "text"), _signature_batches, schema)
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,10 +110,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(alike(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"))).select("a", "b")
 
 
-def _rooted(frame: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _rooted(frame: DataFrame, roots: DataFrame) -> DataFrame:
     """The frame with the component of its nodes."""
-    if roots is None:
-        return frame.withColumn("root", F.col("node"))
     return frame.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
@@ -142,9 +151,31 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     return met.select("a", "size_a", "b", "size_b")
 
 
-def linked_nodes(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """``node, root`` of the nodes that near copies link; input: ``key, node, size`` and ``node, set``."""
-    edges, roots, turn, found = None, None, 0, None
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """``a, size_a, b, size_b``: pairs of distinct ``node, size, fp`` that the covering tables bring together.
+
+    Every node is paired with the first of its own fingerprint, and those of close fingerprints with each
+    other, so the pairs are linear in the nodes.
+    """
+    first = nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("x")).select("fp", "x.node", "x.size")
+
+    def end(frame: DataFrame, x: str, fp: str) -> DataFrame:
+        return frame.select(F.col("fp").alias(fp), F.col("node").alias(x), F.col("size").alias(f"size_{x}"))
+
+    same = end(nodes, "a", "fp").join(end(first, "b", "fp"), "fp").where("a != b")
+    near = close_pairs(nodes.select("fp").distinct()).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    near = near.join(end(first, "a", "fp_a"), "fp_a").join(end(first, "b", "fp_b"), "fp_b")
+    return same.drop("fp").unionByName(near.drop("fp_a", "fp_b"))
+
+
+def linked_nodes(members: DataFrame, sets: DataFrame, close: DataFrame) -> DataFrame:
+    """``node, root`` of the nodes that near copies link.
+
+    Input: ``key, node, size``, ``node, set`` and the pairs that fingerprints gave.
+    """
+    turn, found = 0, None
+    edges = materialised(_verified(close, sets), "near-copies")
+    roots = components(edges)
     while True:
         rooted = _rooted(members, roots)
         buckets = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
@@ -163,13 +194,13 @@ def linked_nodes(members: DataFrame, sets: DataFrame) -> DataFrame | None:
         links = materialised(_verified(ends, sets), "near-copies")
         found = links.count()
         if found:
-            edges = links if edges is None else edges.union(links)
+            edges = edges.union(links)
             roots = components(edges)
         members, turn = live.select("key", "node", "size"), turn + 1
     links = materialised(_verified(prefix_pairs(materialised(left.join(sets, "node"), "open-sets")), sets), "near-copies")
     if links.isEmpty():
         return roots
-    return components(links if edges is None else edges.union(links))
+    return components(edges.union(links))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -177,12 +208,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
     NULL and blank texts have no shingles and are copies of each other.
     """
-    table = map_arrow(docs.select("doc_id", row_key().alias("rk"), "text"), _signature_batches, "doc_id long, rk long, node long, size long, bands array<long>")
-    table = materialised(table, "signatures")
+    table = materialised(signatures(docs), "signatures")
+    close = materialised(fingerprint_pairs(table.select("node", "size", "fp").distinct()), "close-fingerprints")
     placed = table.select("node", "size", "bands").dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = materialised(placed.join(shared, "key", "left_semi"), "bands")
-    chosen = table.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("rk").alias("__rk")).select("__rk")
+    sought = members.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    chosen = table.join(sought, "node", "left_semi").groupBy("node").agg(F.min("rk").alias("__rk")).select("__rk")
     texts = docs.withColumn("__rk", row_key()).select("__rk", "text").join(chosen, "__rk", "left_semi").dropDuplicates(["__rk"]).select("text")
     sets = materialised(map_arrow(texts, _set_batches, "node long, set array<long>"), "sets")
-    return _rooted(table.select("doc_id", "rk", "node"), linked_nodes(members, sets)).select("doc_id", "rk", "root")
+    return _rooted(table.select("doc_id", "rk", "node"), linked_nodes(members, sets, close)).select("doc_id", "rk", "root")

@@ -32,8 +32,26 @@ _CHUNK = 1 << 14
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is set."""
+    return np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    """Signed 64-bit fingerprint from the counts of ``n`` hashes."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Signed fingerprint of unsigned 64-bit hashes; bit i is set if it is set in over half of them."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += _ones(hashes[at : at + _CHUNK])
+    return _majority(ones, len(hashes))
+
+
 def _fingerprint(text: str | None) -> int:
-    """Signed 64-bit fingerprint of a text; bit i is set if it is set in over half the hashes."""
+    """Signed 64-bit fingerprint of a text: that of the hashes of all its shingles, repeats included."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
     if not tokens:
         return 0
@@ -44,9 +62,8 @@ def _fingerprint(text: str | None) -> int:
         hi = min(n, lo + _CHUNK)
         part = tokens[lo : hi + SHINGLE - 1]
         shingles = map(b" ".join, zip(part, part[1:], part[2:], strict=False)) if len(tokens) >= SHINGLE else [b" ".join(tokens)]
-        hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8", count=hi - lo)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+        ones += _ones(np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8", count=hi - lo))
+    return _majority(ones, n)
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +164,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = classes) -> DataFrame:
     """One row of ``docs``, all columns, for each near-duplicate group: that with the smallest ``doc_id``.
 
-    ``find`` gives the groups (``doc_id, rk, root``); by default they are those of the fingerprints.
+    ``find`` gives the groups (``doc_id, rk, root``); by default they are those of the fingerprints. The
+    pipeline's (``jaccard.classes``) checks what the covering tables bring together on the whole sets.
     Rows without an id lose to rows with one; ties go to the smaller row key, and of repeated rows one
     is kept. Which document stays depends on ids and texts only.
     """
